@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemill.session import materialize
+from tidemill.session import materialize, pin_splits
 
 
 def _piece_order() -> WindowSpec:
@@ -155,6 +155,7 @@ def split_arrays(pieces: DataFrame) -> DataFrame:
     `pieces` has (source_file, block, line_no, value, file_size): text between closing
     braces, in reading order.
     """
+    pin_splits(pieces.sparkSession)
     starts = _block_starts(materialize(_block_profiles(pieces), "array-blocks"))
     outside = F.col("state") == 0
     placed = _with_depths(pieces.drop("file_size")).join(starts, ["source_file", "block"])

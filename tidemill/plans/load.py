@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import strip
 from tidemill.operators import documents, labeled, ledger, status
-from tidemill.session import materialize, require_settings
+from tidemill.session import materialize, pin_splits, require_settings
 from tidemill.sources import files as sources
-from tidemill.sources.tables import append_rows, missing_rows, read_or_empty
+from tidemill.sources.tables import append_rows, missing_rows, state_folder
 from tidemill.spec import JSON_PATTERN, JSON_RECORD, TEXT_PATTERN, TEXT_RECORD, UNKNOWN_TS, RecordSpec
 
 INGESTED, STARTED, PROCESSED = "ingested", "started", "processed"
@@ -76,13 +76,13 @@ class Store:
     root: str
 
     def ledger(self, spark: SparkSession) -> DataFrame:
-        return read_or_empty(spark, f"{self.root}/ledger", ledger.SCHEMA)
+        return state_folder(spark, f"{self.root}/ledger", ledger.SCHEMA, "stage")
 
     def status(self, spark: SparkSession) -> DataFrame:
-        return read_or_empty(spark, f"{self.root}/status", STATUS_SCHEMA)
+        return state_folder(spark, f"{self.root}/status", STATUS_SCHEMA, "run_id")
 
     def rejects(self, spark: SparkSession) -> DataFrame:
-        return read_or_empty(spark, f"{self.root}/rejects", REJECT_SCHEMA)
+        return state_folder(spark, f"{self.root}/rejects", REJECT_SCHEMA, "run_id")
 
     def mark(self, names: DataFrame, stage: str, ts: str, run_id: str) -> None:
         """Append one ledger row per name, as few files."""
@@ -111,6 +111,7 @@ def load_frame(
     """
     spark = frame.sparkSession
     require_settings(spark)
+    pin_splits(spark)
     entries = store.ledger(spark)
     blocks = materialize(lane.summarize(lane.prepare(frame)), f"{lane.name}-blocks")
     ingested = ledger.at_stage(entries, INGESTED).groupBy("source_file").agg(F.max("ts").alias("ledger_ts"))
@@ -125,7 +126,9 @@ def load_frame(
     store.put("status", status.file_status(blocks, names), run_id)
     outcome = store.status(spark).where(F.col("run_id") == run_id)
     totals = outcome.agg(
-        F.count_if(F.col("status") == "processed").alias("files"), F.sum("n_reject").alias("rejected")
+        F.count_if(F.col("status") == "processed").alias("files"),
+        F.sum("n_valid").alias("rows"),
+        F.sum("n_reject").alias("rejected"),
     ).first()
     if totals["files"]:
         started = ledger.backlog(ledger.at_stage(entries, STARTED), ledger.at_stage(entries, PROCESSED))
@@ -142,7 +145,10 @@ def load_frame(
             rows = sure.select(*missing.columns).unionByName(missing)
         else:
             rows = lane.records(lane.prepare(placed), keep=("ingest_ts",))
-        append_rows(rows.withColumn("processing_ts", F.lit(run_ts)), table, lane.spec)
+        written = append_rows(rows.withColumn("processing_ts", F.lit(run_ts)), table, lane.spec)
+        if not any_doubt and written != totals["rows"]:
+            # Left as started, so the next run adds what is missing.
+            raise RuntimeError(f"{lane.name} run {run_id}: {written} rows written, {totals['rows']} counted")
     if totals["rejected"]:
         with_rejects = blocks.where("n_reject > 0").select(*_PLACE)
         if "is_valid" in blocks.columns:
@@ -247,7 +253,7 @@ def ingest_directory(
     for number, batch in enumerate(batches(ledger.unseen(listing, known), max_files)):
         run_id = f"{prefix}-{number}"
         frame, names = lane.read(spark, batch), _names(spark, batch)
-        if lane is JSON:
+        if lane.name == JSON.name:
             checked = documents.validate(frame).groupBy("source_file").agg(F.bool_and("is_valid").alias("ok"))
             verdict = materialize(names.join(checked, "source_file", "left"), "verdict")
             good = verdict.where(F.coalesce("ok", F.lit(False))).select("source_file")

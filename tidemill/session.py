@@ -35,6 +35,16 @@ def require_settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Keep file splits the same for every pass of this session.
+
+    Their size otherwise follows the number of cores there happen to be, which changes
+    while executors come and go; block numbers must mean the same in each pass.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared folder named by spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)

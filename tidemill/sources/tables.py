@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.session import materialize
@@ -33,18 +32,14 @@ def create_raw_table(spark: SparkSession, table: str, location: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (raw_line string) USING text LOCATION '{location}'")
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parquet at `path`, or no rows where nothing has been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def state_folder(spark: SparkSession, path: str, schema: str, partition: str) -> DataFrame:
+    """Rows of a partitioned Parquet folder, which is created empty if it is not there."""
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(partition).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
-def append_rows(rows: DataFrame, table: str, spec: RecordSpec) -> None:
-    """Append by column name to the dated table.
+def append_rows(rows: DataFrame, table: str, spec: RecordSpec) -> int:
+    """Append by column name to the dated table; returns the number of rows written.
 
     insertInto goes by position, so columns are put in table order first. The rebalance
     gathers each day into few files, yet splits a day that is larger than a partition
@@ -53,7 +48,10 @@ def append_rows(rows: DataFrame, table: str, spec: RecordSpec) -> None:
     ordered = rows.select(*rows.sparkSession.table(table).columns)
     day = spec.partition.name
     laid_out = ordered.hint("rebalance", F.col(day)).sortWithinPartitions(day, "source_file")
-    laid_out.write.mode("append").insertInto(table)
+    # Counted behind the shuffle, in the writing tasks, where a lost executor cannot count twice.
+    written = Observation()
+    laid_out.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append").insertInto(table)
+    return written.get["rows"]
 
 
 def missing_rows(rows: DataFrame, table: str, spec: RecordSpec) -> DataFrame:
