@@ -39,9 +39,12 @@ def _rule(number: int) -> Column:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines frame of all orders, one line each, a third of them damaged."""
+    """Lines frame of all orders, one line each, most kinds of damage included.
+
+    Files are per day, event dates per month: the dated table has tens of partitions.
+    """
     amount = F.floor("o_totalprice").cast("string")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.date_format("o_orderdate", "yyyy-MM-01")
     identity = (
         F.when(_rule(9), F.concat(F.lit("Order: "), F.col("o_orderkey").cast("string")))
         .when(_rule(10), "Event ID:")
@@ -107,7 +110,7 @@ parsed AS (
     CASE WHEN rule IN (1, 2, 3, 15) THEN 0 WHEN rule = 14 THEN 1234 ELSE amount END AS attendance,
     'orders_' || strftime(o_orderdate, '%Y%m%d') || '.txt' AS source_file,
     CASE WHEN rule IN (4, 5) THEN '1900-01-01' WHEN rule = 12 THEN 'abcdefghij'
-         ELSE strftime(o_orderdate, '%Y-%m-%d') END AS event_date
+         ELSE strftime(o_orderdate, '%Y-%m-01') END AS event_date
   FROM details WHERE rule NOT IN (9, 10)
 )"""
 

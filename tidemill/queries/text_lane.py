@@ -65,7 +65,7 @@ refused AS (
   SELECT 'orders_' || strftime(o_orderdate, '%Y%m%d') || '.txt' AS source_file,
     CASE rule WHEN 9 THEN 'Order: ' || o_orderkey ELSE 'Event ID:' END || ' | Event Name: ' || c_name
       || ' | Sport: ' || c_mktsegment || ' | Venue: ' || n_name || ' | City: ' || r_name
-      || ' | Country: Atlantis | Event Date: ' || strftime(o_orderdate, '%Y-%m-%d') AS body
+      || ' | Country: Atlantis | Event Date: ' || strftime(o_orderdate, '%Y-%m-01') AS body
   FROM details WHERE rule IN (9, 10)
   UNION ALL SELECT source_file, body FROM doc_lines WHERE body <> ''
 )
