@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 from tidemill.session import materialize, pin_splits
 
 
+# The parser takes neither longer values nor deeper nesting, so a group beyond either is
+# known to be unreadable without being put together.
+MAX_GROUP_BYTES = 128 * 1024 * 1024
+MAX_DEPTH = 1000
+
+
 def _piece_order() -> WindowSpec:
     return Window.partitionBy("source_file", "block").orderBy("line_no")
 
@@ -100,12 +106,12 @@ def _block_profiles(pieces: DataFrame) -> DataFrame:
         F.sum(F.when(outside, F.col("octets"))).alias("octets"),
         F.sum(F.when(outside, F.col("step")).otherwise(0)).alias("total_0"),
         F.sum(F.when(~outside, F.col("step")).otherwise(0)).alias("total_1"),
-        F.collect_list(F.struct("state", "rel", "ends")).alias("profile"),
+        F.collect_list(F.when(F.abs("rel") <= MAX_DEPTH, F.struct("state", "rel", "ends"))).alias("profile"),
         F.max("file_size").alias("file_size"),
     )
 
 
-def _block_starts(profiles: DataFrame) -> DataFrame:
+def _block_starts(profiles: DataFrame, max_group_bytes: int) -> DataFrame:
     """Per block: string state, depth and number of finished groups at its start."""
 
     def before(col: str) -> Column:
@@ -119,18 +125,23 @@ def _block_starts(profiles: DataFrame) -> DataFrame:
         "profile", lambda p: (p["state"] == F.col("state")) & (p["rel"] == 1 - F.col("depth"))
     )
     whole_file = Window.partitionBy("source_file")
-    return (
-        deep.withColumn("groups", F.aggregate(at_one, F.lit(0).cast("bigint"), lambda n, p: n + p["ends"]))
-        .select(
-            "source_file",
-            "block",
-            "state",
-            "depth",
-            before("groups").alias("groups_before"),
-            F.lead("block").over(_block_order()).isNull().alias("last_block"),
-            # Pieces and the braces between them; one byte more means a brace ends the file.
-            (F.col("file_size") > F.sum("octets").over(whole_file) - 1).alias("brace_at_end"),
-        )
+    counted = deep.withColumn(
+        "groups", F.aggregate(at_one, F.lit(0).cast("bigint"), lambda n, p: n + p["ends"])
+    ).withColumn("stretch", F.count_if(F.col("groups") > 0).over(_block_order()))
+    # Blocks without an end belong to one group each stretch: is it too long to read?
+    unfinished = F.sum(F.when(F.col("groups") == 0, F.col("octets"))).over(
+        Window.partitionBy("source_file", "stretch")
+    )
+    return counted.withColumn("unfinished", F.coalesce(unfinished, F.lit(0))).select(
+        "source_file",
+        "block",
+        "state",
+        "depth",
+        before("groups").alias("groups_before"),
+        F.lead("block").over(_block_order()).isNull().alias("last_block"),
+        # Pieces and the braces between them; one byte more means a brace ends the file.
+        (F.col("file_size") > F.sum("octets").over(whole_file) - 1).alias("brace_at_end"),
+        (F.max("unfinished").over(whole_file) > max_group_bytes).alias("hopeless"),
     )
 
 
@@ -149,16 +160,20 @@ def _as_array(text: Column, first: Column, closed: Column, brace_at_end: Column)
     )
 
 
-def split_arrays(pieces: DataFrame) -> DataFrame:
+def split_arrays(pieces: DataFrame, max_group_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
     """Documents frame of small arrays from a pieces frame.
 
     `pieces` has (source_file, block, line_no, value, file_size): text between closing
-    braces, in reading order.
+    braces, in reading order. A group gathers one array element and what stands before
+    it. A file with a stretch too long to be one (say, whose root is no array) is not
+    gathered at all: it comes out as a single unreadable chunk.
     """
     pin_splits(pieces.sparkSession)
-    starts = _block_starts(materialize(_block_profiles(pieces), "array-blocks"))
+    profiles = materialize(_block_profiles(pieces), "array-blocks")
+    starts = _block_starts(profiles, max_group_bytes)
     outside = F.col("state") == 0
-    placed = _with_depths(pieces.drop("file_size")).join(starts, ["source_file", "block"])
+    readable = starts.where(~F.col("hopeless"))
+    placed = _with_depths(pieces.drop("file_size")).join(readable, ["source_file", "block"])
     depth = F.col("depth") + F.when(outside, F.col("rel_0")).otherwise(F.col("rel_1"))
     is_structure = F.when(outside, F.col("out_0")).otherwise(F.col("out_1"))
     is_last = F.col("last_block") & F.lead("line_no").over(_piece_order()).isNull()
@@ -166,7 +181,7 @@ def split_arrays(pieces: DataFrame) -> DataFrame:
     grouped = ends.withColumn(
         "chunk", F.col("groups_before") + F.sum("ends").over(_up_to_here()) - F.col("ends")
     )
-    return (
+    chunks = (
         grouped.groupBy("source_file", "chunk")
         .agg(
             F.array_sort(F.collect_list(F.struct("block", "line_no", "value"))).alias("pieces"),
@@ -191,3 +206,8 @@ def split_arrays(pieces: DataFrame) -> DataFrame:
             _as_array(F.col("text"), F.col("chunk") == 0, F.col("closed"), F.col("brace_at_end")).alias("value"),
         )
     )
+    first_block = F.lit(0).cast("bigint")
+    unreadable = starts.where("hopeless").select(
+        "source_file", first_block.alias("block"), first_block.alias("chunk"), F.lit(None).cast("string").alias("value")
+    )
+    return chunks.unionByName(unreadable.distinct())

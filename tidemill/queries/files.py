@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import documents, labeled, reports, status
+from tidemill.operators.arraysplit import split_arrays
 from tidemill.plans.load import JSON, STARTED, TEXT, Store, ingest_directory, load_directory, load_raw
 from tidemill.queries.landing import ORDERS_SQL, event_documents, events_sql, order_lines, table
 from tidemill.queries.text_lane import parsed_orders, stamped_order_lines
-from tidemill.session import scratch_dir
+from tidemill.session import materialize, scratch_dir
 from tidemill.sources import files as sources
 from tidemill.sources import tables
 from tidemill.spec import HEADER_MARKER, JSON_RECORD, TEXT_RECORD
@@ -87,10 +88,8 @@ def json_files_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON files, all read as if too large for one value."""
     path = scratch_dir(spark, "landing")
     _write_documents(event_documents(spark, sf_dir, LARGE_FILE_OBJECTS), path)
-    listed = sources.list_files(spark, path, "*.txt").select("path", "length")
-    found = [(row["path"], row["length"]) for row in listed.collect()]
-    chunks = sources.read_documents(spark, found, whole_limit=0)
-    facts = status.block_facts(documents.block_summary(chunks)).where("loads")
+    chunks = split_arrays(sources.read_pieces(spark, path, "*.txt"))
+    facts = status.block_facts(materialize(documents.block_summary(chunks), "blocks")).where("loads")
     rows = documents.records(chunks).join(facts, ["source_file", "block"], "left_semi")
     return rows.select(*JSON_RECORD.data_columns)
 

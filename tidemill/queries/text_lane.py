@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.text import WHITESPACE, lenient_bigint, partition_day
 from tidemill.operators import labeled, reports, status
 from tidemill.queries.landing import LINES_PER_BLOCK, ORDERS_SQL, order_file, order_lines, table
+from tidemill.session import materialize
 from tidemill.spec import HEADER_MARKER, TEXT_RECORD
 
 AS_OF = "1998-06-01"
@@ -181,7 +182,8 @@ def header_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
         value.alias("value"),
     )
     classified = labeled.classify(lines)
-    facts = status.block_facts(labeled.block_summary(classified))
+    # Written down first, so that the join sees how small the facts are.
+    facts = status.block_facts(materialize(labeled.block_summary(classified), "blocks"))
     rows = status.attach_ingest_ts(labeled.records(classified), facts)
     return rows.select("source_file", "event_id", "ingest_ts")
 
@@ -223,7 +225,8 @@ counted AS (
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     classified = labeled.classify(stamped_order_lines(spark, sf_dir))
-    facts = status.block_facts(labeled.block_summary(classified))
+    # Written down first, so that the join sees how small the facts are.
+    facts = status.block_facts(materialize(labeled.block_summary(classified), "blocks"))
     return reports.lineage(status.attach_ingest_ts(labeled.records(classified), facts))
 
 

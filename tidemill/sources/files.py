@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.arraysplit import split_arrays
@@ -27,16 +27,20 @@ def list_files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
     return listing.coalesce(spark.sparkContext.defaultParallelism)
 
 
-def _literal(path: str) -> str:
-    """Keep characters of a listed name from being taken for a pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+def _located(paths: str | Sequence[str]) -> str | list[str]:
+    """A directory as it is; listed names so that no character is taken for a pattern."""
+    if isinstance(paths, str):
+        return paths
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
+
+
+def _reader(spark: SparkSession, pattern: str | None) -> DataFrameReader:
+    return spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """Lines frame of text files: a directory (with a name pattern) or listed files."""
-    reader = spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
-    found = paths if isinstance(paths, str) else [_literal(p) for p in paths]
-    return reader.text(found).select(
+    return _reader(spark, pattern).text(_located(paths)).select(
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
@@ -44,11 +48,12 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str | N
     )
 
 
-def read_pieces(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_pieces(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """Text between closing braces, in a form split_arrays takes."""
     return (
-        spark.read.option("lineSep", "}")
-        .text([_literal(p) for p in paths])
+        _reader(spark, pattern)
+        .option("lineSep", "}")
+        .text(_located(paths))
         .select(
             F.col("_metadata.file_name").alias("source_file"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -64,16 +69,16 @@ def read_documents(
 ) -> DataFrame:
     """Documents frame of JSON files given as (path, length)."""
     files = list(files)
-    small = [_literal(path) for path, length in files if length <= whole_limit]
+    small = [path for path, length in files if length <= whole_limit]
     large = [path for path, length in files if length > whole_limit]
     zero = F.lit(0).cast("bigint")
     parts = []
-    if small or not large:
-        whole = spark.read.text(small, wholetext=True) if small else spark.createDataFrame([], "value string")
-        name = F.col("_metadata.file_name") if small else F.lit("")
-        parts.append(
-            whole.select(name.alias("source_file"), zero.alias("block"), zero.alias("chunk"), "value")
-        )
+    if small:
+        whole = spark.read.text(_located(small), wholetext=True)
+        name = F.col("_metadata.file_name").alias("source_file")
+        parts.append(whole.select(name, zero.alias("block"), zero.alias("chunk"), "value"))
     if large:
         parts.append(split_arrays(read_pieces(spark, large)))
+    if not parts:
+        return spark.createDataFrame([], "source_file string, block bigint, chunk bigint, value string")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
