@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import integer_or_null
 
-# Key closing the wrapper object.
-_SEAL = "tidemill:seal"
-
-
 def strict_array(text: Column) -> Column:
     """ARRAY<VARIANT> of a document that is exactly one JSON array, else NULL.
 
     The parser ignores text after the first value, so the document is wrapped in an
-    object: with trailing or unbalanced text the seal is lost or a further key shows up.
+    object that ends with a seal: with trailing or unbalanced text the seal is lost or a
+    further key shows up. The keys come from the text's own hash, which it cannot quote.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit(f',"{_SEAL}":1}}')))
+    key = F.xxhash64(text).cast("string")
+    seal = F.concat(key, F.lit("."))
+    wrapped = F.try_parse_json(F.concat(F.lit('{"'), key, F.lit('":'), text, F.lit(',"'), seal, F.lit('":1}')))
     parts = F.try_variant_get(wrapped, "$", "map<string,variant>")
 
     def root(found: Column) -> Column:
-        sealed = (F.size(found) == 2) & F.map_contains_key(found, _SEAL)
-        return F.when(sealed, F.try_variant_get(F.try_element_at(found, F.lit("r")), "$", "array<variant>"))
+        sealed = (F.size(found) == 2) & F.map_contains_key(found, seal)
+        return F.when(sealed, F.try_variant_get(F.try_element_at(found, key), "$", "array<variant>"))
 
     # Bound as a lambda argument, the document is parsed once for the three looks at it.
     return F.get(F.transform(F.array(parts), root), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.arraysplit import split_arrays
@@ -15,13 +15,20 @@ from tidemill.operators.arraysplit import split_arrays
 WHOLE_DOCUMENT_BYTES = 32 * 1024 * 1024
 
 
+def _file_name() -> Column:
+    """Base name as it is on disk; the metadata column has it URL-encoded."""
+    name = F.col("_metadata.file_name")
+    decoded = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.when(name.contains("%"), decoded).otherwise(name).alias("source_file")
+
+
 def list_files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
     """(source_file, path, length) of the files directly in `directory`; contents stay unread."""
     listing = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .load(directory)
-        .select(F.col("_metadata.file_name").alias("source_file"), "path", "length")
+        .select(_file_name(), "path", "length")
     )
     # Tasks are sized by file bytes, which are not read here: a few tasks are plenty.
     return listing.coalesce(spark.sparkContext.defaultParallelism)
@@ -41,7 +48,7 @@ def _reader(spark: SparkSession, pattern: str | None) -> DataFrameReader:
 def read_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """Lines frame of text files: a directory (with a name pattern) or listed files."""
     return _reader(spark, pattern).text(_located(paths)).select(
-        F.col("_metadata.file_name").alias("source_file"),
+        _file_name(),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
         "value",
@@ -55,7 +62,7 @@ def read_pieces(spark: SparkSession, paths: str | Sequence[str], pattern: str |
         .option("lineSep", "}")
         .text(_located(paths))
         .select(
-            F.col("_metadata.file_name").alias("source_file"),
+            _file_name(),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line_no"),
             "value",
@@ -75,8 +82,7 @@ def read_documents(
     parts = []
     if small:
         whole = spark.read.text(_located(small), wholetext=True)
-        name = F.col("_metadata.file_name").alias("source_file")
-        parts.append(whole.select(name, zero.alias("block"), zero.alias("chunk"), "value"))
+        parts.append(whole.select(_file_name(), zero.alias("block"), zero.alias("chunk"), "value"))
     if large:
         parts.append(split_arrays(read_pieces(spark, large)))
     if not parts:
