@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import integer_or_null
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strict_array(text: Column) -> Column:
     """ARRAY<VARIANT> of a document that is exactly one JSON array, else NULL.
 
@@ -23,8 +30,8 @@ def strict_array(text: Column) -> Column:
         sealed = (F.size(found) == 2) & F.map_contains_key(found, seal)
         return F.when(sealed, F.try_variant_get(F.try_element_at(found, key), "$", "array<variant>"))
 
-    # Bound as a lambda argument, the document is parsed once for the three looks at it.
-    return F.get(F.transform(F.array(parts), root), F.lit(0))
+    # One parse for the three looks at it.
+    return _let(parts, root)
 
 
 def object_fields(value: Column) -> Column:
@@ -39,13 +46,16 @@ def _is_boolean(value: Column, text: Column) -> Column:
 
 def variant_text(value: Column) -> Column:
     """Missing -> '', JSON null -> 'None', booleans -> 'True'/'False', else the value's text."""
-    text = F.try_variant_get(value, "$", "string")
-    return (
-        F.when(_is_boolean(value, text), F.initcap(text))
-        .when(text.isNotNull(), text)
-        .when(F.is_variant_null(value), F.lit("None"))
-        .otherwise(F.lit(""))
-    )
+
+    def by_type(text: Column) -> Column:
+        return (
+            F.when(_is_boolean(value, text), F.initcap(text))
+            .when(text.isNotNull(), text)
+            .when(F.is_variant_null(value), F.lit("None"))
+            .otherwise(F.lit(""))
+        )
+
+    return _let(F.try_variant_get(value, "$", "string"), by_type)
 
 
 def variant_bigint(value: Column) -> Column:

@@ -34,14 +34,33 @@ def _block_order() -> WindowSpec:
     return Window.partitionBy("source_file").orderBy("block")
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+def _count(text: Column, *characters: str) -> Column:
+    rest = text
+    for character in characters:
+        rest = F.replace(rest, F.lit(character), F.lit(""))
+    return F.length(text) - F.length(rest)
 
 
 def _net_depth(text: Column) -> Column:
     """Brackets opened minus closed outside string literals."""
-    outside = F.regexp_replace(text, r'"[^"]*("|\z)', "")
-    return _count(outside, r"[\[{]") - _count(outside, r"[\]}]")
+    outside = F.when(text.contains('"'), F.regexp_replace(text, r'"[^"]*("|\z)', "")).otherwise(text)
+    return _count(outside, "[", "{") - _count(outside, "]")
+
+
+def _scanned(pieces: DataFrame) -> DataFrame:
+    """Add bare (text without escapes) and, counted from the block's start, started and
+    ended: whether quotes have been opened and not closed at either end of the piece."""
+    escapes = F.regexp_replace("value", r"(?s)\\.", "")
+    bare = F.when(F.col("value").contains("\\"), escapes).otherwise(F.col("value"))
+    quoted = pieces.withColumn("bare", bare).withColumn("flips", F.pmod(_count(F.col("bare"), '"'), F.lit(2)))
+    ended = F.pmod(F.sum("flips").over(_up_to_here()), F.lit(2))
+    return quoted.withColumn("ended", ended).withColumn("started", F.pmod(F.col("ended") + F.col("flips"), F.lit(2)))
+
+
+def _step(started: Column, ended: Column) -> Column:
+    """Depth change over a piece and the brace behind it."""
+    text = F.when(started == 0, F.col("bare")).otherwise(F.concat(F.lit('"'), "bare"))
+    return _net_depth(text) - (ended == 0).cast("int")
 
 
 def _with_depths(pieces: DataFrame) -> DataFrame:
@@ -51,24 +70,14 @@ def _with_depths(pieces: DataFrame) -> DataFrame:
     rel_s the depth behind it relative to the block's start, out_s whether the closing
     brace behind it is structure rather than string content.
     """
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
-    scanned = pieces.select(
-        "*",
-        F.pmod(_count(bare, '"'), F.lit(2)).alias("flips"),
-        _net_depth(bare).alias("net_outside"),
-        _net_depth(F.concat(F.lit('"'), bare)).alias("net_inside"),
-    ).withColumn("flips_here", F.sum("flips").over(_up_to_here()))
-    started = F.pmod(F.col("flips_here") - F.col("flips"), F.lit(2))
-    ended = F.pmod(F.col("flips_here"), F.lit(2))
-
-    def step(state: int) -> Column:
-        net = F.when(started == state, F.col("net_outside")).otherwise(F.col("net_inside"))
-        return net - (ended == state).cast("int")
-
-    return scanned.select(
+
+    def in_state(s: int, flag: str) -> Column:
+        return F.pmod(F.col(flag) + s, F.lit(2))
+
+    return _scanned(pieces).select(
         "*",
-        *[step(s).alias(f"step_{s}") for s in (0, 1)],
-        *[(ended == s).alias(f"out_{s}") for s in (0, 1)],
+        *[_step(in_state(s, "started"), in_state(s, "ended")).alias(f"step_{s}") for s in (0, 1)],
+        *[(in_state(s, "ended") == 0).alias(f"out_{s}") for s in (0, 1)],
     ).select("*", *[F.sum(f"step_{s}").over(_up_to_here()).alias(f"rel_{s}") for s in (0, 1)])
 
 
@@ -171,13 +180,14 @@ def split_arrays(pieces: DataFrame, max_group_bytes: int = MAX_GROUP_BYTES) -> D
     pin_splits(pieces.sparkSession)
     profiles = materialize(_block_profiles(pieces), "array-blocks")
     starts = _block_starts(profiles, max_group_bytes)
-    outside = F.col("state") == 0
     readable = starts.where(~F.col("hopeless"))
-    placed = _with_depths(pieces.drop("file_size")).join(readable, ["source_file", "block"])
-    depth = F.col("depth") + F.when(outside, F.col("rel_0")).otherwise(F.col("rel_1"))
-    is_structure = F.when(outside, F.col("out_0")).otherwise(F.col("out_1"))
+    placed = _scanned(pieces.drop("file_size")).join(readable, ["source_file", "block"])
+    started, ended = (F.pmod(F.col("state") + F.col(flag), F.lit(2)) for flag in ("started", "ended"))
+    depth = F.col("depth") + F.sum("step").over(_up_to_here())
     is_last = F.col("last_block") & F.lead("line_no").over(_piece_order()).isNull()
-    ends = placed.withColumn("ends", (is_structure & (depth == 1) & ~is_last).cast("bigint"))
+    ends = placed.withColumn("step", _step(started, ended)).withColumn(
+        "ends", ((ended == 0) & (depth == 1) & ~is_last).cast("bigint")
+    )
     grouped = ends.withColumn(
         "chunk", F.col("groups_before") + F.sum("ends").over(_up_to_here()) - F.col("ends")
     )

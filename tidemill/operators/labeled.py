@@ -70,12 +70,12 @@ def _raw(field: Field) -> Column:
     return strip_within(after(F.get("segments", position - 1), PAIR_SEPARATOR), F.col("only_spaces"))
 
 
-def _typed(field: Field) -> Column:
+def _typed(field: Field, raw: Column) -> Column:
     if field.kind == "bigint":
-        return lenient_bigint(_raw(field))
+        return lenient_bigint(raw)
     if field.kind == "day":
-        return partition_day(_raw(field))
-    return F.coalesce(_raw(field), F.lit(""))
+        return partition_day(raw)
+    return F.coalesce(raw, F.lit(""))
 
 
 def records(classified: DataFrame, spec: RecordSpec = TEXT_RECORD, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -85,8 +85,11 @@ def records(classified: DataFrame, spec: RecordSpec = TEXT_RECORD, keep: tuple[s
     # As a generator rather than a filter: a filter would move below the labels and
     # work them out a second time for every line.
     accepted = F.when(F.col("kind") == "record", F.array(F.struct("only_spaces", "segments", "labels")))
-    return classified.select(*place, F.inline(accepted)).select(
-        *place, *[_typed(fields[name]).alias(name) for name in spec.data_columns]
+    found = classified.select(*place, F.inline(accepted)).select(
+        *place, *[_raw(fields[name]).alias(name) for name in spec.data_columns]
+    )
+    return found.select(
+        *place, *[_typed(fields[name], F.col(name)).alias(name) for name in spec.data_columns]
     )
 
 

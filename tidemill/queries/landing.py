@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.session import spread
+
 LINES_PER_BLOCK = 1000
 OBJECTS_PER_FILE = 20
 
@@ -19,14 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with the customer's name, segment, nation and region."""
-    customers = (
-        table(spark, sf_dir, "customer")
+    """Orders with the customer's name, segment, nation and region.
+
+    Joined outwards from orders: each step's other side is a table whose size is known.
+    """
+    return (
+        spread(table(spark, sf_dir, "orders"))
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("c_custkey", "c_name", "c_mktsegment", "n_name", "r_name")
     )
-    return table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
 
 def order_file() -> Column:
@@ -192,7 +196,7 @@ def event_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         _case({19: '"metadata": null', 20: '"metadata": [1]', 21: None}, number, metadata),
     )
     element = F.when(number == 22, text).otherwise(F.concat(F.lit("{"), members, F.lit("}")))
-    return table(spark, sf_dir, "events").select("event_id", element.alias("value"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", element.alias("value"))
 
 
 def events_sql(per_file: int = OBJECTS_PER_FILE) -> str:

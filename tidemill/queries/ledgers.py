@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import documents, labeled, ledger, reports, synth
 from tidemill.queries.landing import LINES_PER_BLOCK, table
+from tidemill.session import spread
 from tidemill.spec import JSON_RECORD, TEXT_RECORD
 
 SYNTH_DAY = "2026-03-24"
@@ -83,7 +84,7 @@ def _as_of():
 
 def synth_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthetic event per order, written as a labelled line and parsed back."""
-    rows = synth.rows(table(spark, sf_dir, "orders"), "o_orderkey", _as_of(), SEED)
+    rows = synth.rows(spread(table(spark, sf_dir, "orders")), "o_orderkey", _as_of(), SEED)
     lines = rows.select(
         F.lit("synthetic.txt").alias("source_file"),
         F.floor(F.col("o_orderkey") / LINES_PER_BLOCK).alias("block"),
@@ -138,7 +139,7 @@ SELECT k AS key, {chosen} FROM drawn"""
 
 def synth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthetic event per event, written as JSON files and parsed back."""
-    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"))
+    ids = spread(table(spark, sf_dir, "events")).select(F.col("event_id").alias("key"))
     objects = synth.rows(ids, "key", _as_of(), SEED).select("key", synth.json_object().alias("value"))
     parsed = documents.records(synth.json_documents(objects, "key", per_file=10))
     return parsed.select("source_file", *JSON_RECORD.data_columns)
@@ -146,7 +147,7 @@ def synth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def venue_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic bookings by venue, with the city looked up."""
-    rows = synth.rows(table(spark, sf_dir, "orders"), "o_orderkey", _as_of(), SEED)
+    rows = synth.rows(spread(table(spark, sf_dir, "orders")), "o_orderkey", _as_of(), SEED)
     return reports.count_by(rows, "venue", "city", name="bookings")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.text import WHITESPACE, lenient_bigint, partition_day
 from tidemill.operators import labeled, reports, status
 from tidemill.queries.landing import LINES_PER_BLOCK, ORDERS_SQL, order_file, order_lines, table
-from tidemill.session import materialize
+from tidemill.session import materialize, spread
 from tidemill.spec import HEADER_MARKER, TEXT_RECORD
 
 AS_OF = "1998-06-01"
@@ -22,7 +22,7 @@ def parsed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document: text that holds no record at all."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     return documents.select(
         F.format_string("doc_%08d.txt", "doc_id").alias("source_file"),
         F.lit(0).cast("bigint").alias("block"),
@@ -105,7 +105,7 @@ def duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("|x | Attendance: "),
         F.col("l_suppkey").cast("string"),
     )
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem")).select(
         F.lit("items.txt").alias("source_file"),
         F.floor(F.col("l_orderkey") / LINES_PER_BLOCK).alias("block"),
         F.col("l_linenumber").cast("bigint").alias("line_no"),
@@ -126,7 +126,7 @@ def lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_linenumber") == 6, F.concat(F.lit("1_"), whole.cast("string")))
         .otherwise(F.concat(F.lit("9876543210"), whole.cast("string"), F.lit("00000")))
     )
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    items = spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", raw.alias("raw"))
     return items.withColumn("number", lenient_bigint(F.col("raw")))
 
 
@@ -175,7 +175,7 @@ def header_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "error", F.lit(HEADER_MARKER + " source_file=unknown"))
         .otherwise(F.concat(F.lit("Event ID: E"), F.col("event_id").cast("string")))
     )
-    lines = table(spark, sf_dir, "events").select(
+    lines = spread(table(spark, sf_dir, "events")).select(
         F.concat_ws("_", F.lit("user"), "user_id", F.date_format("ts", "yyyyMMdd")).alias("source_file"),
         F.floor(F.col("event_id") / LINES_PER_BLOCK).alias("block"),
         F.col("event_id").alias("line_no"),

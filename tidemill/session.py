@@ -45,6 +45,16 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if they come in fewer splits than that.
+
+    For work that costs far more than moving its input, like parsing a table that is one
+    small file. Inputs of any size have splits enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared folder named by spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
