@@ -11,8 +11,9 @@ from tidemill.session import require_settings
 DOCUMENTS = "source_file string, block bigint, chunk bigint, value string"
 
 
-@pytest.fixture(autouse=True)
-def settings(spark):
+@pytest.fixture(autouse=True, params=["true", "false"], ids=["ansi", "lenient"])
+def settings(spark, request):
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
     require_settings(spark)
 
 

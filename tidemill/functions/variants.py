@@ -27,7 +27,7 @@ def strict_array(text: Column) -> Column:
     parts = F.try_variant_get(wrapped, "$", "map<string,variant>")
 
     def root(found: Column) -> Column:
-        sealed = (F.size(found) == 2) & F.map_contains_key(found, seal)
+        sealed = found.isNotNull() & (F.size(found) == 2) & F.map_contains_key(found, seal)
         return F.when(sealed, F.try_variant_get(F.try_element_at(found, key), "$", "array<variant>"))
 
     # One parse for the three looks at it.

@@ -93,8 +93,8 @@ def block_summary(documents: DataFrame, spec: RecordSpec = JSON_RECORD) -> DataF
             "source_file",
             "block",
             F.col("items").isNotNull().alias("is_valid"),
-            F.size("items").alias("n_items"),
-            F.size(F.filter("members", lambda m: m.isNotNull())).alias("n_objects"),
+            F.array_size("items").alias("n_items"),
+            F.array_size(F.filter("members", lambda m: m.isNotNull())).alias("n_objects"),
             F.aggregate("members", F.lit(0), lambda n, m: n + failures(m)).alias("n_bad_numbers"),
         )
     )
