@@ -170,6 +170,14 @@ def test_stream_archives_consumed_files(spark, lake):
     assert not (lake.landing / "a.txt").exists()
 
 
+def test_two_runs_in_the_same_second(spark, lake):
+    for name in ("a", "b"):
+        lake.land(f"{name}.txt", line(name))
+        ingest_directory(spark, str(lake.landing), TEXT, lake.raw, lake.store, T1)
+    assert tuple(load_raw(spark, TEXT, lake.raw, lake.table, lake.store, T2).first()) == (2, 0, 2)
+    assert lake.rows() == ["a", "b"]
+
+
 def test_json_lane_through_the_raw_zone(spark, json_lake):
     lake = json_lake
     good = [{"event_id": "E1", "metadata": {"broadcast": True}}, 5, {"event_id": "E2", "event_date": "2026-05-05"}]
@@ -211,7 +219,11 @@ def test_json_files_too_large_for_one_value(spark, json_lake):
     lake.land("small.json", '[{"event_id": "S"}]')
     lake.land("large.json", json.dumps([{"event_id": f"L{n}"} for n in range(50)], indent=2))
     lake.land("broken.json", json.dumps([{"event_id": f"X{n}"} for n in range(50)])[:-1])
-    lane = replace(JSON, read=lambda session, found: files.read_documents(session, found, whole_limit=100))
+    lane = replace(
+        JSON,
+        read=lambda session, found: files.read_documents(session, found, whole_limit=100),
+        costly=lambda found: True,
+    )
     assert lake.load(T1, lane=lane) == (2, 1, 51)
     assert len(lake.rows()) == 51
 

@@ -8,9 +8,12 @@ which files may be in the table in part, and for just those appends only what is
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,7 @@ class Lane:
     summarize: Callable[[DataFrame], DataFrame]
     records: Callable[..., DataFrame]
     rejects: Callable[[DataFrame], DataFrame]
+    costly: Callable[[list[tuple[str, int]]], bool]  # reading these files again costs more than keeping them
 
 
 TEXT = Lane(
@@ -54,6 +58,7 @@ TEXT = Lane(
     summarize=labeled.block_summary,
     records=labeled.records,
     rejects=labeled.rejects,
+    costly=lambda found: False,
 )
 
 JSON = Lane(
@@ -66,9 +71,25 @@ JSON = Lane(
     summarize=documents.block_summary,
     records=documents.records,
     rejects=documents.rejects,
+    costly=lambda found: any(length > sources.WHOLE_DOCUMENT_BYTES for _, length in found),
 )
 
 
+@contextmanager
+def _contents(spark: SparkSession, lane: Lane, found: list[tuple[str, int]]) -> Iterator[DataFrame]:
+    """What the files hold. Cutting up large JSON files takes shuffles, so that is done
+    once per load and kept on the executors' disks; what is lost is worked out again."""
+    frame = lane.read(spark, found)
+    if not lane.costly(found):
+        yield frame
+        return
+    frame = frame.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield frame
+    finally:
+        frame.unpersist()
+
+
 @dataclass(frozen=True)
 class Store:
     """The state folders of one lane, on storage every executor reaches."""
@@ -182,8 +203,8 @@ def load_files(
     found = [(path, length) for path, length in found if path.rsplit("/", 1)[-1] not in skip]
     if not found:
         return None
-    frame = lane.read(spark, found)
-    return load_frame(frame, _names(spark, found), lane, table, store, run_id, run_ts)
+    with _contents(spark, lane, found) as frame:
+        return load_frame(frame, _names(spark, found), lane, table, store, run_id, run_ts)
 
 
 def batches(pending: DataFrame, max_files: int) -> Iterator[list[tuple[str, int]]]:
@@ -222,7 +243,8 @@ def load_directory(
 
 
 def _run_prefix(run_ts: str) -> str:
-    return "run" + "".join(c for c in run_ts if c.isdigit())
+    """Readable and unique: a second run within the same second must not replace the first."""
+    return "run" + "".join(c for c in run_ts if c.isdigit()) + "-" + uuid.uuid4().hex[:8]
 
 
 # --- landing -> raw zone -------------------------------------------------------------
@@ -252,15 +274,11 @@ def ingest_directory(
     outcomes = [skipped.select("source_file", F.lit("skipped").alias("status"))]
     for number, batch in enumerate(batches(ledger.unseen(listing, known), max_files)):
         run_id = f"{prefix}-{number}"
-        frame, names = lane.read(spark, batch), _names(spark, batch)
-        if lane.name == JSON.name:
-            checked = documents.validate(frame).groupBy("source_file").agg(F.bool_and("is_valid").alias("ok"))
-            verdict = materialize(names.join(checked, "source_file", "left"), "verdict")
-            good = verdict.where(F.coalesce("ok", F.lit(False))).select("source_file")
-            frame = ledger.seen(frame, good)
-        else:
-            good = names
-        frame.write.mode("overwrite").parquet(f"{raw}/run_id={run_id}")
+        names = _names(spark, batch)
+        with _contents(spark, lane, batch) as frame:
+            good = _readable(frame, names) if lane.name == JSON.name else names
+            kept = ledger.seen(frame, good) if lane.name == JSON.name else frame
+            kept.write.mode("overwrite").parquet(f"{raw}/run_id={run_id}")
         store.mark(good, INGESTED, run_ts, run_id)
         result = names.join(good.withColumn("status", F.lit("processed")), "source_file", "left")
         outcomes.append(result.withColumn("status", F.coalesce("status", F.lit("failed"))))
@@ -270,6 +288,13 @@ def ingest_directory(
     return combined
 
 
+def _readable(frame: DataFrame, names: DataFrame) -> DataFrame:
+    """The files among `names` whose contents are strict arrays throughout."""
+    checked = documents.validate(frame).groupBy("source_file").agg(F.bool_and("is_valid").alias("ok"))
+    verdict = materialize(names.join(checked, "source_file", "left"), "verdict")
+    return verdict.where(F.coalesce("ok", F.lit(False))).select("source_file")
+
+
 def load_raw(
     spark: SparkSession, lane: Lane, raw: str, table: str, store: Store, run_ts: str
 ) -> DataFrame:

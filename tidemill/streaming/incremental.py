@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,11 +50,14 @@ def load_new(
     Bad files end up in the status table and do not hold up the others.
     """
 
+    # Batch numbers start anew with each checkpoint, so that is part of the run's name.
+    stream = f"stream-{zlib.crc32(checkpoint.encode()):08x}"
+
     def load_batch(listing: DataFrame, batch_id: int) -> None:
         # File names only, never more than max_files of them.
         found = [(row["path"], row["length"]) for row in listing.collect()]
         if found:
-            load_files(listing.sparkSession, found, lane, table, store, f"stream-{batch_id}", run_ts)
+            load_files(listing.sparkSession, found, lane, table, store, f"{stream}-{batch_id}", run_ts)
 
     return (
         new_files(spark, directory, lane.pattern, max_files, archive)
