@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import documents, labeled, ledger, status
-from tidemill.session import materialize, scratch_dir
+from tidemill.session import default_setting, materialize, scratch_dir
 from tidemill.sources import files
 
 LINES = "source_file string, block bigint, line_no bigint, value string"
@@ -105,3 +105,18 @@ def test_scratch_is_the_shared_folder(spark):
     assert scratch_dir(spark, "x").startswith(shared)
     copy = materialize(spark.range(3).toDF("n"), "copy")
     assert copy.inputFiles()[0].replace("file:", "").lstrip("/").startswith(shared.lstrip("/"))
+
+
+def test_a_default_setting_gives_way_to_the_session(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    usual = spark.conf.get(key)
+    with default_setting(spark, key, "5m"):
+        assert spark.conf.get(key) == "5m"
+    assert spark.conf.get(key) == usual
+    spark.conf.set(key, "3m")
+    try:
+        with default_setting(spark, key, "5m"):
+            assert spark.conf.get(key) == "3m"
+        assert spark.conf.get(key) == "3m"
+    finally:
+        spark.conf.unset(key)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +60,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@contextmanager
+def default_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Use `value` for what runs inside, unless the session has its own."""
+    if key in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared folder named by spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.session import materialize
+from tidemill.session import default_setting, materialize
 from tidemill.spec import RecordSpec
 
 
@@ -38,6 +38,11 @@ def state_folder(spark: SparkSession, path: str, schema: str, partition: str) ->
     return spark.read.schema(schema).parquet(path)
 
 
+# Shuffled rows per writing task. Parquet of such rows is many times smaller, so the usual
+# 64 MB would leave files of a few megabytes each.
+WRITE_TASK_BYTES = "256m"
+
+
 def append_rows(rows: DataFrame, table: str, spec: RecordSpec) -> int:
     """Append by column name to the dated table; returns the number of rows written.
 
@@ -50,7 +55,9 @@ def append_rows(rows: DataFrame, table: str, spec: RecordSpec) -> int:
     laid_out = ordered.hint("rebalance", F.col(day)).sortWithinPartitions(day, "source_file")
     # Counted behind the shuffle, in the writing tasks, where a lost executor cannot count twice.
     written = Observation()
-    laid_out.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append").insertInto(table)
+    counted = laid_out.observe(written, F.count(F.lit(1)).alias("rows"))
+    with default_setting(rows.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", WRITE_TASK_BYTES):
+        counted.write.mode("append").insertInto(table)
     return written.get["rows"]
 
 
