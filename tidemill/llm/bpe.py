@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import expand, packed, steps, table
 
-#: Distinct pieces that a task remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Distinct pieces that a worker remembers; later ones are encoded again in each step.
+REMEMBERED = 400_000
 
 #: Characters that all regular-expression engines class alike. Texts with others are split by the
 #: library itself, whose tables of Unicode may be of another year than those of `regex`.
@@ -31,6 +32,13 @@ _SETTLED = regex.compile(
     "[^\x00-\x1b\x20-\x7e\xa1-ǿΑ-ΡΣ-ωА-я‐-‧ぁ-んァ-ヶ一-龥가-힣]"
 )
 
+#: The pattern of public_tokenizers for texts of these Latin characters, in the faster standard library.
+_LATIN = re.compile("[^\x00-\x1b\x20-\x7e\xa1-ǿ‐-‧]")
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ǿ", "0-9²³¹¼-¾"
+_LATIN_SPLIT = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+)
+
 
 @lru_cache
 def byte_characters() -> tuple[str, ...]:
@@ -101,48 +109,54 @@ class PieceEncoder:
 
     def __init__(self, path: str, pattern: str):
         self.tokenizer, self.split = load_tokenizer(path), regex.compile(pattern).findall
-        self._forget()
-
-    def _forget(self) -> None:
+        self.latin = _LATIN_SPLIT.findall if pattern == public_tokenizers.PATTERN else self.split
         self.slots = _Slots()
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.starts, self.counts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self) -> None:
-        new, self.slots.new = self.slots.new, []
-        if not new:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        first, total = len(self.slots) - len(new), int(counts.sum())
-        while len(self.starts) < len(self.slots):
-            self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
-        while len(self.pool) < self.used + total:
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.starts[first : len(self.slots)] = self.used + np.cumsum(counts) - counts
-        self.counts[first : len(self.slots)] = counts
-        self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.used += total
+    def _learn(self, new: list[str]) -> None:
+        """Ids of the pieces that got the last slots."""
+        parts = [new[i : i + 2000] for i in range(0, len(new), 2000)]
+        for part, found in zip(parts, self.tokenizer.encode_batch(parts, is_pretokenized=True, add_special_tokens=False), strict=True):
+            first = len(self.slots) - len(new)
+            new = new[len(part) :]
+            ids = np.array(found.ids, np.uint32)
+            counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))
+            while len(self.starts) < first + len(part):
+                self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
+            while len(self.pool) < self.used + len(ids):
+                self.pool = np.resize(self.pool, 2 * len(self.pool))
+            self.starts[first : first + len(part)] = self.used + np.cumsum(counts) - counts
+            self.counts[first : first + len(part)] = counts
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.slots) > REMEMBERED:
-            self._forget()
-        number, slots = self.slots.__getitem__, []
+        number, used, slots = self.slots.__getitem__, self.used, []
         for text in texts:
-            if _SETTLED.search(text):
-                slots.append(None)
-            else:
+            if not _LATIN.search(text):
+                pieces = self.latin(text)
+            elif not _SETTLED.search(text):
                 pieces = self.split(text)
-                slots.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
-        self._learn()
-        return [
+            else:
+                slots.append(None)
+                continue
+            slots.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
+        new, self.slots.new = self.slots.new, []
+        self._learn(new)
+        out = [
             np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             if slot is None
             else self.pool[expand(self.starts[slot], self.counts[slot])]
             for text, slot in zip(texts, slots, strict=True)
         ]
+        if len(self.slots) > REMEMBERED:
+            self.used = used
+            for piece in new:
+                del self.slots[piece]
+        return out
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
