@@ -7,7 +7,8 @@ its own as well: its count, less a discount, and the discounts' mass goes to the
 
     P(token) = max(c - D, 0) / N + D * U / N * lattice(token),   P(end) = c(end) / N,
 
-with U distinct training words, is a distribution over all words, and a text's probability is the
+with U distinct training words and D = n1 / (n1 + 2 n2) from the numbers of those seen once and
+twice, is a distribution over all words, and a text's probability is the
 product over its words and one end.
 
 Documents are read once, in blocks of some 32 MB of text whose words are numbered. Counts are joined
@@ -33,7 +34,6 @@ BLOCK_BYTES = 32 << 20
 #: Words of a block that share one row of the block's word list.
 LIST_WORDS = 2_000
 ROUNDS = 2
-DISCOUNT = 0.75
 _SPACE = "▁"
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -58,17 +58,12 @@ class Vocabulary:
         codes = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in self.pieces]
         hashes = np.array([self._hash(c) for c in codes], np.uint64)
         ids = np.flatnonzero(usable)
-        bits = 18
-        while True:  # a table in which no two pieces share a slot
-            slots = hashes[ids] >> np.uint64(64 - bits)
-            if len(np.unique(slots)) == len(ids) or bits == 26:
-                break
-            bits += 1
         order = np.argsort(hashes[ids])
         self.sorted, self.ids = hashes[ids][order], ids[order]
-        self.bits = bits
-        self.head = np.searchsorted(self.sorted, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(64 - bits) if bits < 64 else None)
-        self.head[-1] = len(self.sorted)
+        # Where the hashes of each leading bit pattern begin: a few candidates at most for any hash.
+        self.bits = 20
+        self.head = np.searchsorted(self.sorted, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        self.head = np.append(self.head, len(self.sorted)).astype(np.int32)
 
     @staticmethod
     def _sums(codes: np.ndarray) -> np.ndarray:
@@ -325,10 +320,11 @@ def score(documents: DataFrame, held_out, id_column: str = "doc_id", text_column
     listed = blocks.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "seen")).alias("k", "w"), "first")
     listed = listed.select("block", (F.col("first") + F.col("k")).alias("number"), F.col("w.words").alias("word"), F.col("w.seen").alias("seen"))
     counted = materialize(listed.groupBy("word").agg(F.sum("seen").alias("c")), "words")
-    totals = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    totals = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     n, v = totals.n + ends, totals.v + (ends > 0)
     fitted = spark.sparkContext.broadcast(fit(counted.where("c > 0"), path))
-    known_share, new_share = (DISCOUNT, DISCOUNT * totals.v / n) if totals.n else (0.0, 1.0)
+    discount = (totals.n1 + 0.5) / (totals.n1 + 2 * totals.n2 + 1)
+    new_share = discount * totals.v / n if totals.n else 1.0
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(vocabulary(path), fitted.value)
@@ -336,7 +332,7 @@ def score(documents: DataFrame, held_out, id_column: str = "doc_id", text_column
             c = batch.column("c").to_numpy()
             lattice = word_scores(batch.column("word").to_pylist(), path, weights) + np.log(new_share)
             with np.errstate(divide="ignore"):
-                seen = np.log(np.maximum(c - known_share, 0.0) / max(n, 1))
+                seen = np.log(np.maximum(c - discount, 0.0) / max(n, 1))
             logs = np.logaddexp(lattice, seen) / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(logs)], ["word", "c", "log"])
 
