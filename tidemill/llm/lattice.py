@@ -52,45 +52,43 @@ class Vocabulary:
         usable &= np.array([p == p.lower() and _SPACE not in p[1:] for p in self.pieces])
         self.first = np.array([p.startswith(_SPACE) for p in self.pieces])
         ranks = np.array([-model.get_score(i) for i in range(len(self.pieces))], float)
-        # The scores are ranks; weights start by Zipf's law of them. 256 bytes stand behind all pieces.
+        # The scores are ranks; weights start by Zipf's law of them.
         self.start = np.where(usable, 1.0 / (10.0 + np.maximum(ranks, 0)), 0.0)
-        self.longest = max(len(p) for p, u in zip(self.pieces, usable, strict=True) if u)
-        codes = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in self.pieces]
-        hashes = np.array([self._hash(c) for c in codes], np.uint64)
         ids = np.flatnonzero(usable)
-        order = np.argsort(hashes[ids])
-        self.sorted, self.ids = hashes[ids][order], ids[order]
-        # Where the hashes of each leading bit pattern begin: a few candidates at most for any hash.
-        self.bits = 20
-        self.head = np.searchsorted(self.sorted, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
-        self.head = np.append(self.head, len(self.sorted)).astype(np.int32)
+        self.longest = max(len(self.pieces[i]) for i in ids)
+        keys = np.array([self.sums(np.array([[ord(c)] for c in self.pieces[i]], np.uint64))[-1, 0] for i in ids], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+        # One bit for each leading pattern of a mixed key: most spans that are no piece end here.
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.slots(self.keys)] = True
 
     @staticmethod
-    def _sums(codes: np.ndarray) -> np.ndarray:
-        """Prefix sums along the last axis."""
+    def sums(codes: np.ndarray) -> np.ndarray:
+        """Prefix sums of characters by word: (characters + 1, words) for (characters, words)."""
         with np.errstate(over="ignore"):
-            terms = mixed(codes.astype(np.uint64) + np.uint64(1)) * powers(_BASE, codes.shape[-1])
-            sums = np.zeros((*codes.shape[:-1], codes.shape[-1] + 1), np.uint64)
-            np.cumsum(terms, axis=-1, out=sums[..., 1:])
-        return sums
+            terms = mixed(codes.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(codes))[:, None]
+            out = np.zeros((len(codes) + 1, codes.shape[1]), np.uint64)
+            np.cumsum(terms, axis=0, out=out[1:])
+        return out
 
-    def _hash(self, codes: np.ndarray) -> np.uint64:
-        sums = self._sums(codes)
-        return mixed(sums[-1:] - sums[:1] + np.uint64(len(codes)))[0]
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
-    def find(self, sums: np.ndarray, i: int, j: int) -> np.ndarray:
-        """Piece ids of characters i..j of all words, -1 for none."""
+    def spans(self, sums: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The spans of `size` characters that are pieces: start * words + word, and piece ids."""
+        words = sums.shape[1]
         with np.errstate(over="ignore"):
-            wanted = mixed((sums[:, j] - sums[:, i]) * powers(_INVERSE, i + 1)[i] + np.uint64(j - i))
-        slot = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
-        low, high = self.head[slot], self.head[slot + 1]
-        out = np.full(len(wanted), -1, np.int64)
-        for step in range(int((high - low).max(initial=0))):
-            at = low + step
-            there = at < high
-            there[there] = self.sorted[at[there]] == wanted[there]
-            out[there] = self.ids[at[there]]
-        return out
+            keys = (sums[size:] - sums[:-size]) * powers(_INVERSE, len(sums))[: len(sums) - size, None]
+        at = np.flatnonzero(self.maybe[self.slots(keys)])
+        found = keys.ravel()[at]
+        place = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        same = self.keys[place] == found
+        at, ids = at[same], self.ids[place[same]]
+        allowed = (at < words) | ~self.first[ids]  # only a word's own start takes a piece that opens words
+        return at[allowed], ids[allowed]
 
 
 @lru_cache
@@ -127,66 +125,77 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     for size in np.unique(sizes):
         every = np.flatnonzero(sizes == size)
-        for index in np.array_split(every, max(1, len(every) * int(size) // (1 << 18))):
+        for index in np.array_split(every, max(1, len(every) * int(size) // (1 << 16))):
             joined = "".join(_SPACE + words[k] for k in index.tolist())
             yield index, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(index), int(size) + 1)
 
 
-def _byte_cost(weights: Weights, codes: np.ndarray) -> np.ndarray:
-    """For each character the log probability of spelling it by its UTF-8 bytes."""
-    kinds, back = np.unique(codes, return_inverse=True)
-    costs = np.array([sum(weights.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")) for c in kinds.tolist()])
-    return costs[back].reshape(codes.shape)
-
-
-def _edges(own: Vocabulary, weights: Weights, codes: np.ndarray):
-    """All edges (i, j, ids, log weights) that end at j, for each j. The space mark alone opens a
-    word spelled by bytes: its weight is that of the piece of that name."""
-    sums, length = own._sums(codes), codes.shape[1]
-    spelled = _byte_cost(weights, codes)
-    for j in range(1, length + 1):
-        here = []
-        for i in range(max(0, j - own.longest), j):
-            ids = own.find(sums, i, j)
-            found = ids >= 0
-            if not found.any() and i != j - 1:
-                continue
-            cost = np.where(found, weights.pieces[ids], -np.inf)
-            if i:
-                cost[own.first[ids] & found] = -np.inf
-            if i == j - 1 and i:
-                alone = spelled[:, i]
-                here.append((i, None, alone))
-            if found.any():
-                here.append((i, ids, cost))
-        yield j, here
-
-
-def _logsum(parts: list[np.ndarray]) -> np.ndarray:
-    stacked = np.stack(parts)
-    top = stacked.max(axis=0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        total = top + np.log(np.exp(stacked - np.where(np.isfinite(top), top, 0.0)).sum(axis=0))
-    return np.where(np.isfinite(top), total, -np.inf)
-
-
-def _forward(own: Vocabulary, weights: Weights, codes: np.ndarray, keep: bool = False):
-    alpha = np.full((codes.shape[1] + 1, len(codes)), -np.inf)
-    alpha[0] = 0.0
-    edges = []
-    for j, here in _edges(own, weights, codes):
-        if here:
-            alpha[j] = _logsum([alpha[i] + cost for i, _, cost in here])
-        if keep:
-            edges.append((j, here))
-    return alpha, edges
+class Lattice:
+    """All segmentations of words of one length, and the recursions over them."""
+
+    def __init__(self, own: Vocabulary, weights: Weights, codes: np.ndarray):
+        self.own, self.weights = own, weights
+        self.codes = codes = np.ascontiguousarray(codes.T)
+        self.length, self.words = codes.shape
+        sums = own.sums(codes)
+        self.edges, self.costs = [], []
+        for size in range(1, min(own.longest, self.length) + 1):
+            at, ids = own.spans(sums, size)
+            cost = np.full((self.length + 1 - size, self.words), -np.inf)
+            cost.ravel()[at] = weights.pieces[ids]
+            self.edges.append((at, ids))
+            self.costs.append(cost)
+        # A character that is no piece is spelled by its UTF-8 bytes.
+        self.bare = np.flatnonzero(np.isneginf(self.costs[0]).ravel())
+        kinds, back = np.unique(codes.ravel()[self.bare], return_inverse=True)
+        self.spelling = [list(chr(c).encode("utf-8", "surrogatepass")) for c in kinds.tolist()]
+        self.kind = back
+        if len(kinds):
+            self.costs[0].ravel()[self.bare] = np.array([weights.bytes[b].sum() for b in self.spelling])[back]
+
+    def forward(self) -> np.ndarray:
+        alpha = np.full((self.length + 1, self.words), -np.inf)
+        alpha[0] = 0.0
+        for j in range(1, self.length + 1):
+            alpha[j] = _logsum(np.stack([alpha[j - m] + self.costs[m - 1][j - m] for m in range(1, min(j, len(self.costs)) + 1)]))
+        return alpha
+
+    def backward(self) -> np.ndarray:
+        beta = np.full((self.length + 1, self.words), -np.inf)
+        beta[-1] = 0.0
+        for i in range(self.length - 1, -1, -1):
+            reach = min(self.length - i, len(self.costs))
+            beta[i] = _logsum(np.stack([beta[i + m] + self.costs[m - 1][i] for m in range(1, reach + 1)]))
+        return beta
+
+    def expected(self, counts: np.ndarray) -> None:
+        """Adds the expected uses of pieces, bytes and word ends to `counts`."""
+        alpha, beta = self.forward(), self.backward()
+        total = alpha[-1]
+        for size, (at, ids) in enumerate(self.edges, start=1):
+            i, w = np.divmod(at, self.words)
+            share = np.exp(alpha[i, w] + self.costs[size - 1].ravel()[at] + beta[i + size, w] - total[w])
+            counts[: len(self.own.pieces)] += np.bincount(ids, share, minlength=len(self.own.pieces))
+        i, w = np.divmod(self.bare, self.words)
+        share = np.exp(alpha[i, w] + self.costs[0].ravel()[self.bare] + beta[i + 1, w] - total[w])
+        for spelling, mass in zip(self.spelling, np.bincount(self.kind, share), strict=True):
+            for b in spelling:
+                counts[len(self.own.pieces) + b] += mass
+        counts[-1] += self.words
+
+
+def _logsum(parts: np.ndarray) -> np.ndarray:
+    top = parts.max(axis=0)
+    shift = np.where(np.isneginf(top), 0.0, top)
+    with np.errstate(divide="ignore"):
+        return shift + np.log(np.exp(parts - shift).sum(axis=0))
 
 
 def word_scores(words: list[str], path: str, weights: Weights) -> np.ndarray:
     """Natural-log marginal probability of each word over all its segmentations."""
     own, out = vocabulary(path), np.zeros(len(words))
     for index, codes in _by_length(words):
-        out[index] = _forward(own, weights, codes)[0][-1] + weights.stop
+        out[index] = Lattice(own, weights, codes).forward()[-1] + weights.stop
     return out
 
 
@@ -195,23 +204,7 @@ def expected_counts(words: list[str], path: str, weights: Weights) -> np.ndarray
     own = vocabulary(path)
     counts = np.zeros(len(own.pieces) + 257)
     for _, codes in _by_length(words):
-        alpha, edges = _forward(own, weights, codes, keep=True)
-        beta = np.full_like(alpha, -np.inf)
-        beta[-1] = 0.0
-        for j, here in reversed(edges):
-            for i, ids, cost in here:
-                with np.errstate(invalid="ignore"):
-                    share = np.exp(alpha[i] + cost + beta[j] - alpha[-1])
-                    beta[i] = np.logaddexp(beta[i], cost + beta[j])
-                share = np.where(np.isfinite(share), share, 0.0)
-                if ids is not None:
-                    counts[: len(own.pieces)] += np.bincount(ids[ids >= 0], share[ids >= 0], minlength=len(own.pieces))
-                else:
-                    for c in np.unique(codes[:, i]).tolist():
-                        mass = share[codes[:, i] == c].sum()
-                        for b in chr(c).encode("utf-8", "surrogatepass"):
-                            counts[len(own.pieces) + b] += mass
-        counts[-1] += len(codes)
+        Lattice(own, weights, codes).expected(counts)
     return counts
 
 
