@@ -8,8 +8,9 @@ go from the most significant digit down and carry on only what shares its digits
    hundred bytes instead of one per byte. Equal strings have equal first digits at equal places.
 2. The second digit is a run's whole text. Runs equal in both are equal suffix by suffix, however
    many there are of them; a group of copies ends here.
-3. Where one first digit has different runs, one of each kind is dealt out into its suffixes, whose
-   last digit is the string of `length` bytes itself.
+3. Where one first digit has different runs, one of each kind is compared on. With few kinds, each
+   pair's common text around the gram says which suffixes they share. With more, the kinds are dealt
+   out into suffixes, whose last digit is the string of `length` bytes itself. Both are exact.
 
 Groups of two or more after the last pass are exactly the repeated strings. Digits are compared by
 64-bit hashes, two to each group. The first pass keeps what it knows of all runs in Spark; the tasks
@@ -29,6 +30,8 @@ from tidemill.llm.common import expand, materialize, mixed, prefix_sums, span_ha
 
 LENGTH = 200
 GRAM = 64
+#: Kinds of runs in one group that are compared pair by pair; larger groups go on as single suffixes.
+PAIRED = 24
 FILTER_BITS = 26
 
 
@@ -79,13 +82,18 @@ def _first_pass(documents: DataFrame, length: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "one long, two int")
 
 
+def _slots(one: np.ndarray) -> np.ndarray:
+    # The low bits: a digit is a smallest hash, so its high bits say little.
+    return (one & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
 def _bitmap(digits: DataFrame) -> bytes:
     """Fixed-size bitmap of a column `one`; at most eight partial ones reach the driver, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            bits[(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            bits[_slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))] = True
         yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -95,8 +103,8 @@ def _bitmap(digits: DataFrame) -> bytes:
 
 
 def _there(bits: bytes, one: np.ndarray) -> np.ndarray:
-    slots = one >> np.uint64(64 - FILTER_BITS)
-    return (np.frombuffer(bits, np.uint8)[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    slots = _slots(one)
+    return (np.frombuffer(bits, np.uint8)[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
 def _second_pass(documents: DataFrame, length: int, shared, mixed_groups) -> DataFrame:
@@ -109,7 +117,7 @@ def _second_pass(documents: DataFrame, length: int, shared, mixed_groups) -> Dat
             row, first, count, gram = _runs(data, offsets, sums, length)
             one, two = _digits(sums, first, count, gram, length)
             keep = np.flatnonzero(_there(shared.value, one))
-            row, first, count, one, two = row[keep], first[keep], count[keep], one[keep], two[keep]
+            row, first, count, gram, one, two = (x[keep] for x in (row, first, count, gram, one, two))
             raw, with_text = data.tobytes(), _there(mixed_groups.value, one)
             texts = [raw[a:b] if t else None for a, b, t in zip(first.tolist(), (first + count + length - 1).tolist(), with_text.tolist(), strict=True)]
             index = pa.array(row)
@@ -119,14 +127,49 @@ def _second_pass(documents: DataFrame, length: int, shared, mixed_groups) -> Dat
                     rows.column("mark").take(index),
                     pa.array(first - offsets[row]),
                     pa.array(count),
+                    pa.array(gram - first),
                     pa.array(one.view(np.int64)),
                     pa.array(two.view(np.int64)),
                     pa.array(texts, pa.binary()),
                 ],
-                ["id", "mark", "first", "count", "one", "two", "text"],
+                ["id", "mark", "first", "count", "gram", "one", "two", "text"],
             )
 
-    return documents.mapInArrow(run, f"id {kind}, mark long, first long, count long, one long, two long, text binary")
+    return documents.mapInArrow(run, f"id {kind}, mark long, first long, count long, gram long, one long, two long, text binary")
+
+
+def _common(a: bytes, b: bytes, order: str) -> int:
+    """Bytes that two equally long strings share in front (order "big") or at the end ("little")."""
+    differing = int.from_bytes(a, order) ^ int.from_bytes(b, order)
+    return len(a) - (differing.bit_length() + 7) // 8
+
+
+def _paired(groups: DataFrame, length: int) -> DataFrame:
+    """For (kinds: array of structs) of one first digit: the ranges that single kinds share with another."""
+    kind = groups.schema["kinds"].dataType.elementType["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for kinds in batch.column("kinds").to_pylist():
+                for x in kinds:
+                    if x["n"] > 1:
+                        continue
+                    text, at = x["text"], x["gram"]
+                    for y in kinds:
+                        if y is x:
+                            continue
+                        left, right = min(at, y["gram"]), min(len(text) - at, len(y["text"]) - y["gram"])
+                        left = _common(text[at - left : at], y["text"][y["gram"] - left : y["gram"]], "little")
+                        right = _common(text[at : at + right], y["text"][y["gram"] : y["gram"] + right], "big")
+                        if left + right >= length:
+                            out.append((x["id"], x["mark"], x["first"] + at - left, x["first"] + at + right))
+            if out:
+                columns = zip(*out, strict=True)
+                types = (batch.schema.field("kinds").type.value_type.field("id").type, pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "mark", "start", "end"])
+
+    return groups.select("kinds").mapInArrow(run, f"id {kind}, mark long, start long, end long")
 
 
 def _third_pass(kinds: DataFrame, length: int) -> DataFrame:
@@ -162,23 +205,26 @@ def repeated_spans(documents: DataFrame, id_column: str = "doc_id", text_column:
     shared, mixed_groups = broadcast(_bitmap(groups)), broadcast(_bitmap(groups.where("mixed")))
     runs = materialize(_second_pass(plain, length, shared, mixed_groups), "runs")
 
-    counted = runs.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("count").alias("size"))
+    counted = runs.groupBy("one", "two").agg(F.count("*").alias("n"))
     counted = materialize(counted, "kinds")
     again = counted.where("n > 1").select("one", "two")
     whole = runs.select("id", "mark", "first", "count", "one", "two").join(again, ["one", "two"], "left_semi")
     whole = whole.select("id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("count") + length - 1).alias("end"))
 
-    several = counted.groupBy("one").agg(F.count("*").alias("k")).where("k > 1").select("one")
-    kinds = runs.where("text is not null").groupBy("one", "two").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "mark", "first", "text")).alias("x")
+    several = materialize(counted.groupBy("one").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    fields = ("id", "mark", "first", "gram", "text")
+    kinds = runs.where("text is not null").join(several, "one").groupBy("one", "two").agg(
+        F.count("*").alias("n"), F.first("k").alias("k"), F.first(F.struct(*fields)).alias("x")
     )
-    kinds = kinds.join(materialize(several, "several"), "one", "left_semi").select("one", "n", "x.*")
-    suffixes = materialize(_third_pass(kinds, length), "suffixes")
+    kinds = materialize(kinds.select("one", "n", "k", "x.*"), "mixed")
+    few = kinds.where(F.col("k") <= PAIRED).groupBy("one").agg(F.collect_list(F.struct("n", *fields)).alias("kinds"))
+    pairs = _paired(few, length)
+    suffixes = materialize(_third_pass(kinds.where(F.col("k") > PAIRED).select("one", "n", "id", "mark", "first", "text"), length), "suffixes")
     found = suffixes.groupBy("one", "last").agg(F.sum("n").alias("total"), F.max(F.when(F.col("n") == 1, 1)).alias("single"))
     found = materialize(found.where("total > 1 and single = 1").select("one", "last"), "repeats")
     parts = suffixes.where("n = 1").join(found, ["one", "last"], "left_semi")
     parts = parts.select("id", "mark", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
-    return whole.unionByName(parts)
+    return whole.unionByName(pairs).unionByName(parts)
 
 
 def remove_spans(documents: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
