@@ -213,10 +213,10 @@ def repeated_spans(documents: DataFrame, id_column: str = "doc_id", text_column:
 
     several = materialize(counted.groupBy("one").agg(F.count("*").alias("k")).where("k > 1"), "several")
     fields = ("id", "mark", "first", "gram", "text")
-    kinds = runs.where("text is not null").join(several, "one").groupBy("one", "two").agg(
-        F.count("*").alias("n"), F.first("k").alias("k"), F.first(F.struct(*fields)).alias("x")
-    )
-    kinds = materialize(kinds.select("one", "n", "k", "x.*"), "mixed")
+    # Combined before any shuffle: a run that a third of the documents share is a few rows per task.
+    kinds = runs.where("text is not null").groupBy("one", "two").agg(F.count("*").alias("n"), F.first(F.struct(*fields)).alias("x"))
+    kinds = materialize(kinds.select("one", "n", "x.*"), "first").join(several, "one")
+    kinds = materialize(kinds, "mixed")
     few = kinds.where(F.col("k") <= PAIRED).groupBy("one").agg(F.collect_list(F.struct("n", *fields)).alias("kinds"))
     pairs = _paired(few, length)
     suffixes = materialize(_third_pass(kinds.where(F.col("k") > PAIRED).select("one", "n", "id", "mark", "first", "text"), length), "suffixes")
