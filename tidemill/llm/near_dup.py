@@ -5,10 +5,13 @@ start, however many documents have them. For each of 128 hash functions a class
 value in compressed form: the number of leading zeros and ten bits after them. Bands of four
 registers are buckets: sets alike to 0.8 share one of 32 buckets but for one pair in 20 million.
 
-Within a bucket, members meet representatives, not each other: one at first, then twice as many in
-each round, until all members left are in one component. A group of copies is done after the first
-round or two, with as many pairs as members; in the end every pair of a bucket has either met or is
-known to be connected, so no link is lost. Pairs whose registers (corrected for equal registers of
+Within a bucket, members meet a representative, not each other. A group of copies is done after that,
+with as many pairs as members. What is left shares buckets with members of other components: mostly
+texts of one template, alike but below the threshold. Their sets are put into new buckets by their
+rarest shingles, of which any two sets above the threshold share one, and meet again: one
+representative for each bucket at first, then four times as many in each round, until all members
+left of a bucket are in one component. In the end every pair of a bucket has either met or is known
+to be connected, so no link is lost. Pairs whose registers (corrected for equal registers of
 different sets) put them well below the threshold are dropped; the rest is confirmed on full sets.
 """
 
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import (
@@ -241,6 +244,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(bucket, class): by class the rarest shingles, so many that sets above the threshold share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in steps(batches):
+            values, counts = shingle_sets(LOWER[data], offsets, size)
+            index = pa.array(np.repeat(np.arange(rows.num_rows), counts))
+            n = rows.column("class").take(index)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), n, pa.array(np.repeat(counts, counts))], ["shingle", "class", "n"])
+
+    shingles = materialize(texts.mapInArrow(run, "shingle long, class long, n long"), "shingles")
+    seen = materialize(shingles.groupBy("shingle").agg(F.count("*").alias("df")), "frequencies")
+    order = Window.partitionBy("class").orderBy("df", "shingle")
+    ranked = shingles.join(seen, "shingle").withColumn("rank", F.row_number().over(order))
+    # Sets of n and n' above the threshold share at least percent/100 * n shingles.
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.where((F.col("rank") <= prefix) & (F.col("df") > 1)).select(F.col("shingle").alias("bucket"), "class")
+
+
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id of its group) and kept.
 
@@ -265,7 +287,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     named = playing.select("class", F.col("id").alias("i"), F.col("mark").alias("m"))
     bodies = materialize(texts.join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("class", "text"), "texts")
 
-    links, slots = None, 1
+    links, slots, by_shingles = None, 1, False
     labels = materialize(in_play.select("class", F.col("class").alias("component")), "labels")
     state = materialize(active.select("bucket", "class").join(in_play, "class").withColumn("component", F.col("class")), "state")
     while not state.isEmpty():
@@ -281,7 +303,15 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
         left = materialize(left.join(labels, "class"), "left")
         still = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
         state = materialize(left.join(materialize(still.select("bucket"), "open"), "bucket", "left_semi"), "state")
-        slots *= 2
+        slots *= 4
+        if not by_shingles and not state.isEmpty():
+            # Every pair that may still be linked has both its members here.
+            open_classes = materialize(state.groupBy("class").agg(F.first("component").alias("component"), F.first("weight").alias("weight")), "open")
+            rare = materialize(_rarest(bodies.join(open_classes, "class", "left_semi"), size, percent), "rarest")
+            state = materialize(rare.distinct().join(open_classes, "class"), "state")
+            several = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+            state = materialize(state.join(materialize(several.select("bucket"), "open"), "bucket", "left_semi"), "state")
+            by_shingles, slots = True, 1
 
     grouped = classes.select("digest", "class", "least_id").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     grouped = materialize(grouped, "grouped")
