@@ -9,16 +9,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, decontaminate, lattice, near_dup, repeats, token_files, unit_dedup
+from tidemill.llm import bpe, decontaminate, html_text, lattice, near_dup, repeats, token_files, toxicity, unit_dedup
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.OP2_SQL),
     "op3_byte_bpe": (bpe.op3_byte_bpe, None),
     "op4_near_duplicates": (near_dup.op4_near_duplicates, None),
+    "op5_toxicity": (toxicity.op5_toxicity, None),
     "op6_token_files": (token_files.op6_token_files, None),
     "op7_unit_dedup": (unit_dedup.op7_unit_dedup, unit_dedup.OP7_SQL),
     "op8_suffix_dedup": (repeats.op8_suffix_dedup, None),
     "op9_lattice_score": (lattice.op9_lattice_score, None),
+    "op10_html_text": (html_text.op10_html_text, None),
 }
 
 _shipped: set[str] = set()
