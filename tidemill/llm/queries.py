@@ -9,9 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, decontaminate, html_text, lattice, near_dup, repeats, token_files, toxicity, unit_dedup
+from tidemill.llm import bpe, decontaminate, html_text, lattice, near_dup, neighbours, repeats, token_files, toxicity, unit_dedup
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_nearest_neighbours": (neighbours.op1_nearest_neighbours, None),
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.OP2_SQL),
     "op3_byte_bpe": (bpe.op3_byte_bpe, None),
     "op4_near_duplicates": (near_dup.op4_near_duplicates, None),

@@ -179,22 +179,29 @@ def learn(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
 
 def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, score) for every row; null counts as empty. Repeated rows get equal scores."""
-    kind = documents.schema[id_column].dataType.simpleString()
+    chosen = documents.select(id_column, text_column)
+    return with_score(chosen, model, text_column, "score" if "score" != id_column else "value").drop(text_column)
+
+
+def with_score(documents: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
+    """All rows and columns of `documents` and their score, under a name that is still free."""
+    if score_column in documents.columns:
+        raise ValueError(f"a column {score_column} exists already")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         machine = own.automaton()
-        for rows, data, ends in steps(batches):
+        for rows, data, ends in steps(batches, text_column):
             raw = data.tobytes()
             f = np.array([_features(raw[a:b].decode(), machine) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
             value = np.zeros(rows.num_rows)
             if own.fit:
                 value = 1 / (1 + np.exp(-np.clip(f @ np.array(own.fit[:-1]) + own.fit[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(value)], ["id", "score"])
+            yield rows.append_column(score_column, pa.array(value))
 
-    chosen = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_column)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields]
+    return documents.mapInArrow(run, ", ".join([*fields, f"`{score_column}` double"]))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Model:
