@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.draws import Draws, pick
+from draws import Draws, pick
 from tidemill.spec import JSON_RECORD, PAIR_SEPARATOR, SEGMENT_SEPARATOR, TEXT_RECORD
 
 # The vocabulary and ranges the reports are asked about.

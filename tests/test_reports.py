@@ -3,9 +3,10 @@
 import uuid
 
 import pytest
+import synth
 from pyspark.sql import functions as F
 
-from tidemill.operators import reports, synth
+from tidemill.operators import reports
 from tidemill.sources import tables
 from tidemill.spec import JSON_RECORD, TEXT_RECORD
 

@@ -22,10 +22,14 @@ def count_by(rows: DataFrame, *keys: str, name: str = "total") -> DataFrame:
 def total_by(
     rows: DataFrame, key: str, value: str, total: str = "total_attendance", name: str = "events", by: str | None = None
 ) -> DataFrame:
-    """Sum and rows per key, largest `by` (default: the sum) first."""
+    """Sum and rows per key, largest `by` (default: the sum) first.
+
+    Added up in 38 digits, so no order of rows can make it wrap; a sum beyond 64 bits is null.
+    """
+    exact = F.sum(F.col(value).cast("decimal(19,0)")).try_cast("bigint")
     return (
         rows.groupBy(key)
-        .agg(F.sum(value).alias(total), F.count("*").alias(name))
+        .agg(exact.alias(total), F.count("*").alias(name))
         .orderBy(F.desc(by or total), key)
     )
 

@@ -69,7 +69,7 @@ def run_summary(status: DataFrame) -> DataFrame:
     done = F.col("status") == "processed"
     return status.agg(
         F.count_if(done).alias("files_processed"),
-        F.count_if(~done).alias("files_failed"),
+        F.count_if(F.col("status") == "failed").alias("files_failed"),
         F.coalesce(F.sum(F.when(done, F.col("n_valid"))), F.lit(0)).alias("total_records"),
     )
 

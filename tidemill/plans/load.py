@@ -14,12 +14,13 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import strip
 from tidemill.operators import documents, labeled, ledger, status
-from tidemill.session import materialize, pin_splits, require_settings
+from tidemill.session import materialize, pin_splits, require_settings, scratch_dir
 from tidemill.sources import files as sources
 from tidemill.sources.tables import append_rows, missing_rows, state_folder
 from tidemill.spec import JSON_PATTERN, JSON_RECORD, TEXT_PATTERN, TEXT_RECORD, UNKNOWN_TS, RecordSpec
@@ -108,7 +109,7 @@ class Store:
     def mark(self, names: DataFrame, stage: str, ts: str, run_id: str) -> None:
         """Append one ledger row per name, as few files."""
         rows = ledger.entries(names, stage, ts, run_id)
-        rows.coalesce(1).write.mode("append").partitionBy("stage").parquet(f"{self.root}/ledger")
+        rows.hint("rebalance").write.mode("append").partitionBy("stage").parquet(f"{self.root}/ledger")
 
     def put(self, kind: str, rows: DataFrame, run_id: str) -> None:
         """Replace this run's rows of `kind`, so that repeating a run repeats nothing."""
@@ -157,19 +158,22 @@ def load_frame(
         doubtful = materialize(ledger.seen(loading_names, started), f"{lane.name}-doubtful")
         any_doubt = not doubtful.isEmpty()
         store.mark(loading_names, STARTED, run_ts, run_id)
+        expected = totals["rows"]
         placed = frame.join(loading.select(*_PLACE, "ingest_ts"), _PLACE)
         if any_doubt:
             sure = lane.records(lane.prepare(ledger.unseen(placed, doubtful)), keep=("ingest_ts",))
             unsure = lane.records(lane.prepare(ledger.seen(placed, doubtful)))
             file_ts = loading.select("source_file", "ingest_ts").distinct()
-            missing = missing_rows(unsure, table, lane.spec).join(file_ts, "source_file")
+            missing = materialize(missing_rows(unsure, table, lane.spec).join(file_ts, "source_file"), "missing")
+            sure_rows = ledger.unseen(outcome.where("status = 'processed'"), doubtful).agg(F.sum("n_valid")).first()[0]
+            expected = (sure_rows or 0) + missing.count()
             rows = sure.select(*missing.columns).unionByName(missing)
         else:
             rows = lane.records(lane.prepare(placed), keep=("ingest_ts",))
         written = append_rows(rows.withColumn("processing_ts", F.lit(run_ts)), table, lane.spec)
-        if not any_doubt and written != totals["rows"]:
+        if written != expected:
             # Left as started, so the next run adds what is missing.
-            raise RuntimeError(f"{lane.name} run {run_id}: {written} rows written, {totals['rows']} counted")
+            raise RuntimeError(f"{lane.name} run {run_id}: {written} rows written, {expected} counted")
     if totals["rejected"]:
         with_rejects = blocks.where("n_reject > 0").select(*_PLACE)
         if "is_valid" in blocks.columns:
@@ -203,8 +207,38 @@ def load_files(
     found = [(path, length) for path, length in found if path.rsplit("/", 1)[-1] not in skip]
     if not found:
         return None
-    with _contents(spark, lane, found) as frame:
-        return load_frame(frame, _names(spark, found), lane, table, store, run_id, run_ts)
+    names = _names(spark, found)
+    try:
+        with _contents(spark, lane, found) as frame:
+            return load_frame(frame, names, lane, table, store, run_id, run_ts)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # Some went after they were listed: they fail, the others load.
+    with _contents(spark, lane, sources.existing(spark, found)) as frame:
+        return load_frame(frame, names, lane, table, store, run_id, run_ts)
+
+
+def retry_failed(
+    spark: SparkSession, directory: str, lane: Lane, table: str, store: Store, run_ts: str, max_files: int = 1_000
+) -> None:
+    """Load again the files in `directory` that have failed and are not processed."""
+    failed = store.status(spark).where("status = 'failed'").select("source_file").distinct()
+    failed = materialize(ledger.unseen(failed, ledger.at_stage(store.ledger(spark), PROCESSED)), "failed")
+    if failed.isEmpty():
+        return
+    prefix = _run_prefix(run_ts)
+    for number, batch in enumerate(batches(ledger.seen(sources.list_files(spark, directory, lane.pattern), failed), max_files)):
+        load_files(spark, batch, lane, table, store, f"{prefix}-{number}", run_ts)
+
+
+def report_hidden(spark: SparkSession, directory: str, lane: Lane, store: Store, run_id: str) -> None:
+    """Note files that Spark's readers pass over, for their names begin with `_` or `.`, as skipped."""
+    names = sources.hidden_files(spark, directory, lane.pattern)
+    if names:
+        rows = [(name, 0, 0, 0, "skipped") for name in names]
+        columns = "source_file string, n_valid bigint, n_reject bigint, n_cast_failures bigint, status string"
+        store.put("status", spark.createDataFrame(rows, columns), run_id)
 
 
 def batches(pending: DataFrame, max_files: int) -> Iterator[list[tuple[str, int]]]:
@@ -239,6 +273,7 @@ def load_directory(
     prefix = _run_prefix(run_ts)
     for number, batch in enumerate(batches(pending, max_files)):
         load_files(spark, batch, lane, table, store, f"{prefix}-{number}", run_ts)
+    report_hidden(spark, directory, lane, store, f"{prefix}-hidden")
     return status.run_summary(store.status(spark).where(F.col("run_id").startswith(prefix + "-")))
 
 
@@ -271,7 +306,8 @@ def ingest_directory(
     # Written down before this run adds to the ledger: who was known at its start.
     skipped = materialize(ledger.seen(listing.select("source_file"), known), "skipped")
     prefix = _run_prefix(run_ts)
-    outcomes = [skipped.select("source_file", F.lit("skipped").alias("status"))]
+    outcomes = scratch_dir(spark, "outcomes")
+    skipped.select("source_file", F.lit("skipped").alias("status")).write.parquet(outcomes)
     for number, batch in enumerate(batches(ledger.unseen(listing, known), max_files)):
         run_id = f"{prefix}-{number}"
         names = _names(spark, batch)
@@ -281,11 +317,9 @@ def ingest_directory(
             kept.write.mode("overwrite").parquet(f"{raw}/run_id={run_id}")
         store.mark(good, INGESTED, run_ts, run_id)
         result = names.join(good.withColumn("status", F.lit("processed")), "source_file", "left")
-        outcomes.append(result.withColumn("status", F.coalesce("status", F.lit("failed"))))
-    combined = outcomes[0]
-    for more in outcomes[1:]:
-        combined = combined.unionByName(more)
-    return combined
+        result = result.withColumn("status", F.coalesce("status", F.lit("failed")))
+        result.write.mode("append").parquet(outcomes)
+    return spark.read.schema("source_file string, status string").parquet(outcomes)
 
 
 def _readable(frame: DataFrame, names: DataFrame) -> DataFrame:
@@ -303,12 +337,12 @@ def load_raw(
     ingested, processed = ledger.at_stage(entries, INGESTED), ledger.at_stage(entries, PROCESSED)
     pending = materialize(ledger.unseen(ingested.select("source_file", "run_id"), processed), "backlog")
     prefix = _run_prefix(run_ts)
-    zone = spark.read.schema(lane.raw_columns + ", run_id string").parquet(raw) if not pending.isEmpty() else None
     # One load per outstanding ingest run, which is one folder of the raw zone.
     for row in pending.select("run_id").distinct().orderBy("run_id").collect():
-        of_run = F.col("run_id") == row["run_id"]
-        names = pending.where(of_run).select("source_file").distinct()
-        frame = ledger.seen(zone.where(of_run).drop("run_id"), names)
+        names = pending.where(F.col("run_id") == row["run_id"]).select("source_file").distinct()
+        # The folder of that run by name: runs loaded long ago are not listed.
+        folder = spark.read.schema(lane.raw_columns).parquet(f"{raw}/run_id={row['run_id']}")
+        frame = ledger.seen(folder, names)
         load_frame(frame, names, lane, table, store, f"{prefix}-{row['run_id']}", run_ts)
     return status.run_summary(store.status(spark).where(F.col("run_id").startswith(prefix + "-")))
 
@@ -323,4 +357,4 @@ def seed_ledger(
     else:
         known = ledger.names_from_log(lines).withColumn("ts", F.lit(UNKNOWN_TS))
     rows = known.select(F.lit(stage).alias("stage"), "source_file", strip("ts").alias("ts"), F.lit("log").alias("run_id"))
-    rows.coalesce(1).write.mode("append").partitionBy("stage").parquet(f"{store.root}/ledger")
+    rows.hint("rebalance").write.mode("append").partitionBy("stage").parquet(f"{store.root}/ledger")

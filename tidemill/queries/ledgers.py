@@ -1,17 +1,12 @@
-"""Queries over file ledgers, lookups and synthetic rows."""
+"""Queries over file ledgers and lookups."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import documents, labeled, ledger, reports, synth
-from tidemill.queries.landing import LINES_PER_BLOCK, table
-from tidemill.session import spread
-from tidemill.spec import JSON_RECORD, TEXT_RECORD
-
-SYNTH_DAY = "2026-03-24"
-SEED = 7
+from tidemill.operators import ledger, reports
+from tidemill.queries.landing import table
 
 
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,85 +73,12 @@ _USERS = "SELECT 'c' || user_id || '.json' FROM events WHERE event_type <> 'view
 _FILES = "SELECT 'c' || c_custkey || '.json' AS source_file FROM customer"
 
 
-def _as_of():
-    return F.to_date(F.lit(SYNTH_DAY))
-
-
-def synth_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One synthetic event per order, written as a labelled line and parsed back."""
-    rows = synth.rows(spread(table(spark, sf_dir, "orders")), "o_orderkey", _as_of(), SEED)
-    lines = rows.select(
-        F.lit("synthetic.txt").alias("source_file"),
-        F.floor(F.col("o_orderkey") / LINES_PER_BLOCK).alias("block"),
-        F.col("o_orderkey").alias("line_no"),
-        synth.labelled_line().alias("value"),
-    )
-    parsed = labeled.records(labeled.classify(lines), keep=("line_no",))
-    return parsed.select(F.col("line_no").alias("key"), *TEXT_RECORD.data_columns)
-
-
-def _synth_sql(source: str, key: str, columns: list[str]) -> str:
-    pools = synth.Pools()
-
-    def draw(number: int) -> str:
-        return f"CAST('0x' || substr(sha256('{SEED}:{number // 8}:' || k), {1 + 8 * (number % 8)}, 8) AS BIGINT)"
-
-    def one_of(values, index: str) -> str:
-        items = ", ".join(f"'{v}'" for v in values)
-        return f"[{items}][1 + {index}]"
-
-    def choice(number: int, values) -> str:
-        return one_of(values, f"{draw(number)} % {len(values)}")
-
-    sports = [s for s, w in synth.SPORT_WEIGHTS.items() for _ in range(w)]
-    teams = len(pools.teams)
-    cities = " ".join(f"WHEN '{v}' THEN '{c}'" for v, c in pools.venue_cities.items())
-    expressions = {
-        "event_id": f"'EVT' || (1000 + {draw(0)} % 9000)",
-        "event_name": choice(1, pools.event_names),
-        "sport_type": choice(2, sports),
-        "venue": "venue",
-        "city": f"CASE venue {cities} END",
-        "country": f"'{synth.COUNTRY}'",
-        "team_a": one_of(pools.teams, "first"),
-        "team_b": one_of(pools.teams, f"(first + 1 + {draw(6)} % {teams - 1}) % {teams}"),
-        "status": choice(7, synth.STATUSES),
-        "attendance": f"5000 + {draw(8)} % 83001",
-        "meta_source_system": choice(9, pools.source_systems),
-        "meta_priority": choice(10, synth.PRIORITIES),
-        "meta_broadcast": choice(11, ("true", "false")),
-        "meta_category": choice(12, synth.CATEGORIES),
-        "meta_referee": choice(13, pools.referees),
-        "meta_notes": choice(14, pools.notes),
-        "event_date": f"strftime(DATE '{SYNTH_DAY}' + CAST({draw(4)} % 51 - 5 AS INTEGER), '%Y-%m-%d')",
-    }
-    chosen = ", ".join(f"{expressions[c]} AS {c}" for c in columns)
-    return f"""
-WITH keyed AS (SELECT {key} AS k FROM {source}),
-drawn AS (SELECT k, {draw(5)} % {teams} AS first, {choice(3, list(pools.venue_cities))} AS venue FROM keyed)
-SELECT k AS key, {chosen} FROM drawn"""
-
-
-def synth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One synthetic event per event, written as JSON files and parsed back."""
-    ids = spread(table(spark, sf_dir, "events")).select(F.col("event_id").alias("key"))
-    objects = synth.rows(ids, "key", _as_of(), SEED).select("key", synth.json_object().alias("value"))
-    parsed = documents.records(synth.json_documents(objects, "key", per_file=10))
-    return parsed.select("source_file", *JSON_RECORD.data_columns)
-
-
-def venue_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic bookings by venue, with the city looked up."""
-    rows = synth.rows(spread(table(spark, sf_dir, "orders")), "o_orderkey", _as_of(), SEED)
-    return reports.count_by(rows, "venue", "city", name="bookings")
-
-
-def _documents_sql() -> str:
-    inner = _synth_sql("events", "event_id", JSON_RECORD.data_columns)
-    columns = ", ".join(JSON_RECORD.data_columns)
-    return f"""
-SELECT 'events_' || lpad(CAST(key // 10 AS VARCHAR), 8, '0') || '.json' AS source_file, {columns}
-FROM ({inner})"""
+def customers_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by nation and its region, both looked up in the dimension tables."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"), F.col("n_regionkey").alias("r_regionkey"))
+    place = nation.join(table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region")), "r_regionkey")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey")).join(place, "n_nationkey")
+    return reports.count_by(rows, "nation", "region", name="customers")
 
 
 QUERIES = {
@@ -173,11 +95,9 @@ QUERIES = {
     ),
     "ledger_ts_lookup": _lookup(plain_counts=False),
     "ledger_ts_ingest_form": _lookup(plain_counts=True),
-    "synth_text_rows": (synth_text, _synth_sql("orders", "o_orderkey", TEXT_RECORD.data_columns)),
-    "synth_json_rows": (synth_documents, _documents_sql()),
     "dim_lookup": (
-        venue_cities,
-        f"SELECT venue, city, count(*) AS bookings FROM ({_synth_sql('orders', 'o_orderkey', ['venue', 'city'])}) "
-        "GROUP BY venue, city",
+        customers_by_place,
+        "SELECT n_name AS nation, r_name AS region, count(*) AS customers FROM customer "
+        "JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     ),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from collections.abc import Iterable, Sequence
 
@@ -22,18 +23,56 @@ def _file_name() -> Column:
     return F.when(name.contains("%"), decoded).otherwise(name).alias("source_file")
 
 
+def _qualified(spark: SparkSession, directory: str):
+    """The directory's Hadoop path with scheme, as it stands before the names Spark lists, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.makeQualified(system.getUri(), system.getWorkingDirectory()), system
+
+
+def directly_in(spark: SparkSession, directory: str) -> Column:
+    """Whether a listed `path` lies in `directory` itself, not in a folder below."""
+    prefix = F.lit(_qualified(spark, directory)[0].toString().rstrip("/") + "/")
+    return F.col("path").startswith(prefix) & ~F.contains(F.substr("path", F.length(prefix) + 1), F.lit("/"))
+
+
 def list_files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
-    """(source_file, path, length) of the files directly in `directory`; contents stay unread."""
+    """(source_file, path, length) of the files directly in `directory`; contents stay unread.
+
+    Folders below, whatever their names, neither add files nor hide any: with the recursive
+    lookup Spark does not take `k=v` folders for partitions. Files whose names begin with `_` or
+    `.` are not listed; see hidden_files.
+    """
     listing = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true")
         .load(directory)
+        .where(directly_in(spark, directory))
         .select(_file_name(), "path", "length")
     )
     # Tasks are sized by file bytes, which are not read here: a few tasks are plenty.
     return listing.coalesce(spark.sparkContext.defaultParallelism)
 
 
+def hidden_files(spark: SparkSession, directory: str, pattern: str) -> list[str]:
+    """Names that match the pattern but that Spark's readers pass over, for they begin with `_` or `.`."""
+    path, system = _qualified(spark, directory)
+    found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "[_.]*"))
+    names = [s.getPath().getName() for s in found or () if s.isFile()]
+    return sorted(n for n in names if fnmatch.fnmatchcase(n, pattern))
+
+
+def existing(spark: SparkSession, found: Sequence[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Those of the listed (path, length) files that are still there."""
+    out = []
+    for path, length in found:
+        where, system = _qualified(spark, path)
+        if system.exists(where):
+            out.append((path, length))
+    return out
+
+
 def _located(paths: str | Sequence[str]) -> str | list[str]:
     """A directory as it is; listed names so that no character is taken for a pattern."""
     if isinstance(paths, str):
@@ -42,7 +81,9 @@ def _located(paths: str | Sequence[str]) -> str | list[str]:
 
 
 def _reader(spark: SparkSession, pattern: str | None) -> DataFrameReader:
-    return spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
+    # A file that goes between the listing and the read has no rows; its status says so.
+    reader = spark.read.option("ignoreMissingFiles", "true")
+    return reader if pattern is None else reader.option("pathGlobFilter", pattern)
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
@@ -81,7 +122,7 @@ def read_documents(
     zero = F.lit(0).cast("bigint")
     parts = []
     if small:
-        whole = spark.read.text(_located(small), wholetext=True)
+        whole = _reader(spark, None).text(_located(small), wholetext=True)
         parts.append(whole.select(_file_name(), zero.alias("block"), zero.alias("chunk"), "value"))
     if large:
         parts.append(split_arrays(read_pieces(spark, large)))

@@ -61,16 +61,25 @@ def append_rows(rows: DataFrame, table: str, spec: RecordSpec) -> int:
     return written.get["rows"]
 
 
+#: Days of a recheck that are named in the filter one by one; more are joined.
+NAMED_DAYS = 1_000
+
+
 def missing_rows(rows: DataFrame, table: str, spec: RecordSpec) -> DataFrame:
     """Rows of `rows` that `table` does not hold yet for their files, duplicates counted.
 
-    For files whose earlier append may have been cut short. Only the days and files in
-    question are read; the multiset difference covers none, some and all rows present.
+    For files whose earlier append may have been cut short. The partitions of the days in question
+    are read, and of them the files in question count; the multiset difference covers none, some
+    and all rows present.
     """
     day = spec.partition.name
     columns = [*spec.data_columns, "source_file"]
     places = materialize(rows.select(day, "source_file").distinct(), "recheck")
-    present = rows.sparkSession.table(table).join(places, [day, "source_file"], "left_semi")
+    held = rows.sparkSession.table(table)
+    days = [r[0] for r in places.select(day).distinct().limit(NAMED_DAYS + 1).collect()]
+    if len(days) <= NAMED_DAYS:
+        held = held.where(F.col(day).isin(days))
+    present = held.join(places, [day, "source_file"], "left_semi")
     return rows.select(*columns).exceptAll(present.select(*columns))
 
 

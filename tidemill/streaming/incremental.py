@@ -7,7 +7,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemill.plans.load import Lane, Store, load_files
+from tidemill.plans.load import Lane, Store, load_files, retry_failed
+from tidemill.sources.files import directly_in
 
 _LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -17,19 +18,22 @@ def new_files(
 ) -> DataFrame:
     """Stream of (path, length) of files whose base name has not been seen; contents stay unread.
 
-    A file changed under a known name does not come again. With `archive`, files are
-    moved there once the batch after theirs has completed.
+    A file changed under a known name does not come again. No file is too old: the ledger, not
+    file times, says what has been loaded. Folders below are not looked into. With `archive`,
+    files are moved there once the batch after theirs has completed.
     """
     reader = (
         spark.readStream.format("binaryFile")
         .schema(_LISTING)
         .option("pathGlobFilter", pattern)
         .option("fileNameOnly", "true")
+        .option("recursiveFileLookup", "true")
+        .option("maxFileAge", "36500d")
         .option("maxFilesPerTrigger", max_files)
     )
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.load(directory).select("path", "length")
+    return reader.load(directory).where(directly_in(spark, directory)).select("path", "length")
 
 
 def load_new(
@@ -45,6 +49,9 @@ def load_new(
 ) -> StreamingQuery:
     """Load all files not seen yet in bounded batches, then stop.
 
+    Files that an earlier run noted as failed and that have not been loaded since come first: the
+    stream's checkpoint has seen them and would not bring them again.
+
     A batch that is repeated after a failure has the same files and run id: files already
     processed are skipped, and a half-written append is completed rather than doubled.
     Bad files end up in the status table and do not hold up the others.
@@ -59,6 +66,7 @@ def load_new(
         if found:
             load_files(listing.sparkSession, found, lane, table, store, f"{stream}-{batch_id}", run_ts)
 
+    retry_failed(spark, directory, lane, table, store, run_ts, max_files)
     return (
         new_files(spark, directory, lane.pattern, max_files, archive)
         .writeStream.foreachBatch(load_batch)
