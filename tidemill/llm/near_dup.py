@@ -7,8 +7,9 @@ registers are buckets: sets alike to 0.8 share one of 32 buckets but for one pai
 
 Within a bucket, members meet a representative, not each other. A group of copies is done after that,
 with as many pairs as members. What is left shares buckets with members of other components: mostly
-texts of one template, alike but below the threshold. Their sets are put into new buckets by their
-rarest shingles, of which any two sets above the threshold share one, and meet again: one
+texts of one template, alike but below the threshold. These have all met one representative, and two
+of them can only be linked if they differ from it in the same shingles, in so many that they share
+one of the rarest of these. By such shingles they are put into new buckets and meet again: one
 representative for each bucket at first, then four times as many in each round, until all members
 left of a bucket are in one component. In the end every pair of a bucket has either met or is known
 to be connected, so no link is lost. Pairs whose registers (corrected for equal registers of
@@ -198,7 +199,7 @@ def _meet(active: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
     group of variants is the one nearest to all.
     """
     slot = F.pmod(F.xxhash64("class", F.lit(slots)), F.lit(slots))
-    chosen = active.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "class", "component")).alias("r"))
+    chosen = active.where("lead").groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "class", "component")).alias("r"))
     chosen = materialize(chosen.select("bucket", F.col("r.class").alias("rep"), F.col("r.component").alias("home")), "representatives")
     pairs = active.join(chosen, "bucket").where("component != home")
     return pairs.select(F.least("class", "rep").alias("a"), F.greatest("class", "rep").alias("b")), chosen
@@ -222,18 +223,20 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    data, offsets = packed(column)
+    values, counts = shingle_sets(LOWER[data], offsets, size)
+    return np.split(values, np.cumsum(counts)[:-1])
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union of their full sets, made from the texts."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        data, offsets = packed(column)
-        values, counts = shingle_sets(LOWER[data], offsets, size)
-        return np.split(values, np.cumsum(counts)[:-1])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in steps(batches, "x"):
             kept = []
-            for x, y in zip(sets(batch.column("x")), sets(batch.column("y")), strict=True):
+            for x, y in zip(_sets(batch.column("x"), size), _sets(batch.column("y"), size), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 kept.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
@@ -244,23 +247,64 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(bucket, class): by class the rarest shingles, so many that sets above the threshold share one."""
+def _by_differences(met: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(bucket, class, lead) for classes by the shingles in which they differ from representatives met.
+
+    Let D(x) be the shingles that only one of x and the representative B has. Sets x and y alike to
+    the threshold p share at least (|D(x)| + |D(y)| - r (|x| + |y|)) / 2 of these, r = (1-p) / (1+p).
+    If neither is linked with B, |D(y)| > r (|y| + |B|), so they share more than
+    (|D(x)| + r (|B| - |x|)) / 2: any two such sets share one of the rarest |D(x)| - floor(that). The
+    same bound holds for a linked x against an unlinked y; for an unlinked x against a linked y it
+    is (|D(x)| - r (|x| + |B|)) / 2, since |D(y)| is at least the difference of the sizes. Two sets
+    linked with B are connected. So unlinked classes meet in buckets of their own, and linked ones
+    lead the buckets in which the unlinked meet them.
+    """
+    more, less = 100 + percent, 100 - percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in steps(batches):
-            values, counts = shingle_sets(LOWER[data], offsets, size)
-            index = pa.array(np.repeat(np.arange(rows.num_rows), counts))
-            n = rows.column("class").take(index)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), n, pa.array(np.repeat(counts, counts))], ["shingle", "class", "n"])
+        for rows, _, _ in steps(batches, "x"):
+            tokens, counts, first, second, free = [], [], [], [], []
+            for x, y in zip(_sets(rows.column("x"), size), _sets(rows.column("y"), size), strict=True):
+                own = np.setxor1d(x, y, assume_unique=True)
+                d = len(own)
+                shared = (more * d + less * (len(y) - len(x))) // (2 * more)
+                unlinked = more * d > less * (len(x) + len(y))
+                fewer = max(1, -(-(more * d - less * (len(x) + len(y))) // (2 * more)))
+                tokens.append(own)
+                counts.append(d)
+                first.append(d - shared if unlinked else 0)
+                second.append(d - fewer + 1 if unlinked else d - shared)
+                free.append(unlinked)
+            index = np.repeat(np.arange(rows.num_rows), counts)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "class": rows.column("class").take(pa.array(index)),
+                    "rep": rows.column("rep").take(pa.array(index)),
+                    "shingle": np.concatenate(tokens).view(np.int64),
+                    "among_free": np.array(first, np.int64)[index],
+                    "with_linked": np.array(second, np.int64)[index],
+                    "free": np.array(free, bool)[index],
+                }
+            )
+
+    wanted = met.select("class").union(met.select("rep")).distinct()
+    own = texts.join(wanted, "class", "left_semi")
+    joined = met.join(own.withColumnRenamed("text", "x"), "class").join(own.selectExpr("class as rep", "text as y"), "rep")
+    schema = "class long, rep long, shingle long, among_free long, with_linked long, free boolean"
+    differing = materialize(joined.select("class", "rep", "x", "y").mapInArrow(run, schema), "differences")
+    seen = materialize(differing.groupBy("rep", "shingle").agg(F.count("*").alias("df")), "frequencies")
+    order = Window.partitionBy("class", "rep").orderBy("df", "shingle")
+    ranked = materialize(differing.join(seen, ["rep", "shingle"]).withColumn("rank", F.row_number().over(order)).where("df > 1"), "ranked")
+    among = ranked.where("free and rank <= among_free").select(F.xxhash64("rep", "shingle", F.lit(1)).alias("bucket"), "class", F.lit(True).alias("lead"))
+    across = ranked.where("rank <= with_linked").select(F.xxhash64("rep", "shingle", F.lit(2)).alias("bucket"), "class", (~F.col("free")).alias("lead"))
+    return among.unionByName(across).groupBy("bucket", "class").agg(F.bool_or("lead").alias("lead"))
+
 
-    shingles = materialize(texts.mapInArrow(run, "shingle long, class long, n long"), "shingles")
-    seen = materialize(shingles.groupBy("shingle").agg(F.count("*").alias("df")), "frequencies")
-    order = Window.partitionBy("class").orderBy("df", "shingle")
-    ranked = shingles.join(seen, "shingle").withColumn("rank", F.row_number().over(order))
-    # Sets of n and n' above the threshold share at least percent/100 * n shingles.
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return ranked.where((F.col("rank") <= prefix) & (F.col("df") > 1)).select(F.col("shingle").alias("bucket"), "class")
+def _open(state: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components and someone to lead."""
+    several = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("lead").alias("led"))
+    several = materialize(several.where("low != high and led").select("bucket"), "open")
+    return materialize(state.join(several, "bucket", "left_semi"), "state")
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -287,9 +331,10 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     named = playing.select("class", F.col("id").alias("i"), F.col("mark").alias("m"))
     bodies = materialize(texts.join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("class", "text"), "texts")
 
-    links, slots, by_shingles = None, 1, False
+    links, slots, again = None, 1, False
     labels = materialize(in_play.select("class", F.col("class").alias("component")), "labels")
-    state = materialize(active.select("bucket", "class").join(in_play, "class").withColumn("component", F.col("class")), "state")
+    state = active.select("bucket", "class").join(in_play, "class")
+    state = materialize(state.withColumns({"component": F.col("class"), "lead": F.lit(True)}), "state")
     while not state.isEmpty():
         pairs, chosen = _meet(state, slots)
         pairs = materialize(pairs.distinct(), "pairs")
@@ -300,18 +345,13 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
             labels = components(links, labels)
         # Representatives have met all others of their bucket; buckets of one component are done.
         left = state.drop("component").join(chosen.select("bucket", F.col("rep").alias("class")), ["bucket", "class"], "left_anti")
-        left = materialize(left.join(labels, "class"), "left")
-        still = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        state = materialize(left.join(materialize(still.select("bucket"), "open"), "bucket", "left_semi"), "state")
+        state = _open(materialize(left.join(labels, "class"), "left"))
         slots *= 4
-        if not by_shingles and not state.isEmpty():
-            # Every pair that may still be linked has both its members here.
-            open_classes = materialize(state.groupBy("class").agg(F.first("component").alias("component"), F.first("weight").alias("weight")), "open")
-            rare = materialize(_rarest(bodies.join(open_classes, "class", "left_semi"), size, percent), "rarest")
-            state = materialize(rare.distinct().join(open_classes, "class"), "state")
-            several = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-            state = materialize(state.join(materialize(several.select("bucket"), "open"), "bucket", "left_semi"), "state")
-            by_shingles, slots = True, 1
+        if not again and not state.isEmpty():
+            # Every pair that may still be linked shares one of these buckets, so it has met one representative.
+            met = materialize(state.select("bucket", "class").join(chosen.select("bucket", "rep"), "bucket").select("class", "rep").distinct(), "met")
+            members = _by_differences(met, bodies, size, percent).join(labels, "class").join(in_play, "class")
+            state, again, slots = _open(materialize(members, "members")), True, 1
 
     grouped = classes.select("digest", "class", "least_id").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     grouped = materialize(grouped, "grouped")
