@@ -160,6 +160,22 @@ def test_near_duplicates(spark):
     assert own == brute_components(rows, 4, 80)
 
 
+def test_near_duplicates_of_many_variants(spark):
+    rng = random.Random(10)
+    template = [rng.choice("abcdefgh") * 3 + str(rng.randint(0, 99)) for _ in range(110)]
+    texts = [" ".join(template)]
+    for _ in range(170):  # words changed, put in and taken out, some places often; linked with the template, with each other, or with none
+        copy = list(texts[-1].split()) if rng.random() < 0.15 else list(template)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 7])):
+            at = rng.choice([rng.randrange(len(copy)), 7, 40])
+            copy[at : at + rng.randint(0, 1)] = rng.choice([[], ["new" + str(rng.randint(0, 9))], [str(rng.random())]])
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    for first in (0, 1):  # with the template and without it
+        own = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, rows[first:]), size=4).collect()}
+        assert own == brute_components(rows[first:], 4, 80)
+
+
 def test_collision_correction():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))

@@ -9,11 +9,13 @@ Within a bucket, members meet a representative, not each other. A group of copie
 with as many pairs as members. What is left shares buckets with members of other components: mostly
 texts of one template, alike but below the threshold. These have all met one representative, and two
 of them can only be linked if they differ from it in the same shingles, in so many that they share
-one of the rarest of these. By such shingles they are put into new buckets and meet again: one
-representative for each bucket at first, then four times as many in each round, until all members
-left of a bucket are in one component. In the end every pair of a bucket has either met or is known
-to be connected, so no link is lost. Pairs whose registers (corrected for equal registers of
-different sets) put them well below the threshold are dropped; the rest is confirmed on full sets.
+one of the rarest of these. By such shingles they are put into new buckets and meet again: 64
+representatives for each bucket at first, then 64 times as many in each round, until all members
+left of a bucket are in one component. Two members are a pair there only if the sizes of their
+differences, and the places of the bucket's shingle in the order by rarity, leave room for enough
+shared ones. In the end every pair of a bucket has met, can't be alike, or is known to be connected,
+so no link is lost. Pairs whose registers (corrected for equal registers of different sets) put them
+well below the threshold are dropped; the rest is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ BAND = 4
 MANTISSA = 10
 #: Estimates may fall short by this much: five standard deviations of 128 registers at 0.8.
 MARGIN = 0.18
+#: How many times as many representatives a bucket has in the next round.
+GROWTH = 64
 
 _FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -171,15 +175,16 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("class", "sketch").mapInArrow(run, "bucket long, class long")
 
 
-def components(links: DataFrame, labels: DataFrame) -> DataFrame:
+def components(links: DataFrame, labels: DataFrame, rounds: int | None = None) -> DataFrame:
     """(class, component): the smallest class reachable over links (a, b), by label passing.
 
-    `labels` holds every class with a class it is known to be connected with, itself at first.
+    `labels` holds every class with a class it is known to be connected with, itself at first. With
+    `rounds`, passing ends after so many: labels then name connected classes, not yet the smallest.
 
     Labels move to all neighbours and then to what the label's own vertex has learnt, so chains
     halve with every round. Each round is written to the shared folder.
     """
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    edges = links.select("a", "b").union(links.select("b", "a"))
     while True:
         near = edges.join(labels, edges.a == labels["class"]).groupBy(F.col("b").alias("class")).agg(F.min("component").alias("other"))
         lower = labels.join(near, "class", "left").select("class", F.least("component", F.coalesce("other", "component")).alias("mid"), F.col("component").alias("old"))
@@ -188,20 +193,27 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
         after = lower.join(up, "mid", "left").select("class", F.coalesce("top", "mid").alias("component"), "old")
         after = materialize(after, "labels")
         labels = after.select("class", "component")
-        if after.where("component != old").isEmpty():
+        rounds = rounds and rounds - 1
+        if rounds == 0 or after.where("component != old").isEmpty():
             return labels
 
 
-def _meet(active: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+def _meet(active: DataFrame, slots: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of this round, members of a bucket with representatives of other components, and these.
 
     A bucket has one representative for each slot: the class that shares buckets most, which in a
-    group of variants is the one nearest to all.
+    group of variants is the one nearest to all. A pair that is alike shares at least
+    (d + e - r (n + m)) / 2 of its differences (see _by_differences), and in the bucket of the first
+    that it shares, no more can follow than either has left.
     """
     slot = F.pmod(F.xxhash64("class", F.lit(slots)), F.lit(slots))
-    chosen = active.where("lead").groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "class", "component")).alias("r"))
-    chosen = materialize(chosen.select("bucket", F.col("r.class").alias("rep"), F.col("r.component").alias("home")), "representatives")
-    pairs = active.join(chosen, "bucket").where("component != home")
+    facts = F.struct("weight", "class", "component", "n", "d", "place")
+    chosen = active.where("lead").groupBy("bucket", slot.alias("slot")).agg(F.max(facts).alias("r"))
+    chosen = chosen.selectExpr("bucket", "r.class as rep", "r.component as home", "r.n as m", "r.d as e", "r.place as spot")
+    chosen = materialize(chosen, "representatives")
+    more, less = 100 + percent, 100 - percent
+    room = F.expr(f"{more} * (d + e) - {less} * (n + m) <= {2 * more} * (1 + least(d - place, e - spot))")
+    pairs = active.join(chosen, (active.bucket == chosen.bucket) & F.expr("component != home") & room)
     return pairs.select(F.least("class", "rep").alias("a"), F.greatest("class", "rep").alias("b")), chosen
 
 
@@ -248,7 +260,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 
 def _by_differences(met: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(bucket, class, lead) for classes by the shingles in which they differ from representatives met.
+    """(bucket, class, lead, n, d, place) for classes by the shingles in which they differ from representatives met.
 
     Let D(x) be the shingles that only one of x and the representative B has. Sets x and y alike to
     the threshold p share at least (|D(x)| + |D(y)| - r (|x| + |y|)) / 2 of these, r = (1-p) / (1+p).
@@ -257,13 +269,14 @@ def _by_differences(met: DataFrame, texts: DataFrame, size: int, percent: int) -
     same bound holds for a linked x against an unlinked y; for an unlinked x against a linked y it
     is (|D(x)| - r (|x| + |B|)) / 2, since |D(y)| is at least the difference of the sizes. Two sets
     linked with B are connected. So unlinked classes meet in buckets of their own, and linked ones
-    lead the buckets in which the unlinked meet them.
+    lead the buckets in which the unlinked meet them. n is |x|, d is |D(x)|, and place that of the
+    bucket's shingle in D(x), rarest first.
     """
     more, less = 100 + percent, 100 - percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in steps(batches, "x"):
-            tokens, counts, first, second, free = [], [], [], [], []
+            tokens, counts, sizes, first, second, free = [], [], [], [], [], []
             for x, y in zip(_sets(rows.column("x"), size), _sets(rows.column("y"), size), strict=True):
                 own = np.setxor1d(x, y, assume_unique=True)
                 d = len(own)
@@ -272,6 +285,7 @@ def _by_differences(met: DataFrame, texts: DataFrame, size: int, percent: int) -
                 fewer = max(1, -(-(more * d - less * (len(x) + len(y))) // (2 * more)))
                 tokens.append(own)
                 counts.append(d)
+                sizes.append(len(x))
                 first.append(d - shared if unlinked else 0)
                 second.append(d - fewer + 1 if unlinked else d - shared)
                 free.append(unlinked)
@@ -281,6 +295,8 @@ def _by_differences(met: DataFrame, texts: DataFrame, size: int, percent: int) -
                     "class": rows.column("class").take(pa.array(index)),
                     "rep": rows.column("rep").take(pa.array(index)),
                     "shingle": np.concatenate(tokens).view(np.int64),
+                    "n": np.array(sizes, np.int64)[index],
+                    "d": np.array(counts, np.int64)[index],
                     "among_free": np.array(first, np.int64)[index],
                     "with_linked": np.array(second, np.int64)[index],
                     "free": np.array(free, bool)[index],
@@ -290,14 +306,16 @@ def _by_differences(met: DataFrame, texts: DataFrame, size: int, percent: int) -
     wanted = met.select("class").union(met.select("rep")).distinct()
     own = texts.join(wanted, "class", "left_semi")
     joined = met.join(own.withColumnRenamed("text", "x"), "class").join(own.selectExpr("class as rep", "text as y"), "rep")
-    schema = "class long, rep long, shingle long, among_free long, with_linked long, free boolean"
+    schema = "class long, rep long, shingle long, n long, d long, among_free long, with_linked long, free boolean"
     differing = materialize(joined.select("class", "rep", "x", "y").mapInArrow(run, schema), "differences")
     seen = materialize(differing.groupBy("rep", "shingle").agg(F.count("*").alias("df")), "frequencies")
     order = Window.partitionBy("class", "rep").orderBy("df", "shingle")
-    ranked = materialize(differing.join(seen, ["rep", "shingle"]).withColumn("rank", F.row_number().over(order)).where("df > 1"), "ranked")
-    among = ranked.where("free and rank <= among_free").select(F.xxhash64("rep", "shingle", F.lit(1)).alias("bucket"), "class", F.lit(True).alias("lead"))
-    across = ranked.where("rank <= with_linked").select(F.xxhash64("rep", "shingle", F.lit(2)).alias("bucket"), "class", (~F.col("free")).alias("lead"))
-    return among.unionByName(across).groupBy("bucket", "class").agg(F.bool_or("lead").alias("lead"))
+    ranked = differing.join(seen, ["rep", "shingle"]).withColumn("place", F.row_number().over(order).cast("long"))
+    ranked = materialize(ranked.where("df > 1 and place <= greatest(among_free, with_linked)"), "ranked")
+    facts = ["class", "n", "d", "place"]
+    among = ranked.where("free and place <= among_free").select(F.xxhash64("rep", "shingle", F.lit(1)).alias("bucket"), *facts, F.lit(True).alias("lead"))
+    across = ranked.where("place <= with_linked").select(F.xxhash64("rep", "shingle", F.lit(2)).alias("bucket"), *facts, (~F.col("free")).alias("lead"))
+    return among.unionByName(across)
 
 
 def _open(state: DataFrame) -> DataFrame:
@@ -331,27 +349,30 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     named = playing.select("class", F.col("id").alias("i"), F.col("mark").alias("m"))
     bodies = materialize(texts.join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("class", "text"), "texts")
 
-    links, slots, again = None, 1, False
     labels = materialize(in_play.select("class", F.col("class").alias("component")), "labels")
-    state = active.select("bucket", "class").join(in_play, "class")
-    state = materialize(state.withColumns({"component": F.col("class"), "lead": F.lit(True)}), "state")
+    state = active.select("bucket", "class").join(in_play, "class").join(sketches.select("class", "n"), "class")
+    state = state.withColumns({"d": F.lit(0).cast("long"), "place": F.lit(0).cast("long"), "component": F.col("class"), "lead": F.lit(True)})
+    state = materialize(state, "state")
+    links, slots, again, whole = None, 1, False, True
     while not state.isEmpty():
-        pairs, chosen = _meet(state, slots)
-        pairs = materialize(pairs.distinct(), "pairs")
-        plausible = materialize(_plausible(pairs, sketches, percent / 100), "plausible")
+        pairs, chosen = _meet(state, slots, percent)
+        plausible = materialize(_plausible(pairs.distinct(), sketches, percent / 100), "plausible")
         found = materialize(_confirmed(plausible, bodies, size, percent), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            labels = components(links, labels)
+            # Until the end labels only save comparisons; a few steps do for members around representatives.
+            labels, whole = components(links, labels, 1 if again else 3), False
         # Representatives have met all others of their bucket; buckets of one component are done.
         left = state.drop("component").join(chosen.select("bucket", F.col("rep").alias("class")), ["bucket", "class"], "left_anti")
         state = _open(materialize(left.join(labels, "class"), "left"))
-        slots *= 4
+        slots *= GROWTH
         if not again and not state.isEmpty():
             # Every pair that may still be linked shares one of these buckets, so it has met one representative.
             met = materialize(state.select("bucket", "class").join(chosen.select("bucket", "rep"), "bucket").select("class", "rep").distinct(), "met")
             members = _by_differences(met, bodies, size, percent).join(labels, "class").join(in_play, "class")
-            state, again, slots = _open(materialize(members, "members")), True, 1
+            state, again, slots = _open(materialize(members, "members")), True, GROWTH
+    if not whole:
+        labels = components(links, labels)
 
     grouped = classes.select("digest", "class", "least_id").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     grouped = materialize(grouped, "grouped")
