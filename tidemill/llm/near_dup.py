@@ -361,7 +361,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             # Until the end labels only save comparisons; a few steps do for members around representatives.
-            labels, whole = components(links, labels, 1 if again else 3), False
+            labels, whole = components(links, labels, 1 if again else 2), False
         # Representatives have met all others of their bucket; buckets of one component are done.
         left = state.drop("component").join(chosen.select("bucket", F.col("rep").alias("class")), ["bucket", "class"], "left_anti")
         state = _open(materialize(left.join(labels, "class"), "left"))
@@ -370,7 +370,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
             # Every pair that may still be linked shares one of these buckets, so it has met one representative.
             met = materialize(state.select("bucket", "class").join(chosen.select("bucket", "rep"), "bucket").select("class", "rep").distinct(), "met")
             members = _by_differences(met, bodies, size, percent).join(labels, "class").join(in_play, "class")
-            state, again, slots = _open(materialize(members, "members")), True, GROWTH
+            state, again, slots = materialize(members, "members"), True, GROWTH
     if not whole:
         labels = components(links, labels)
 
