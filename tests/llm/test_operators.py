@@ -270,6 +270,17 @@ def test_html_text(spark):
     assert own == {**{k: f"Own text {k} of page & more {k}{f' word{k}' * 30} end." for k in range(4)}, 10: "", 11: "", 12: "cut off", 13: "A\n\nB"}
 
 
+def test_html_text_repeated_blocks_anywhere(spark):
+    rng = random.Random(12)
+    for size in (20, 35, 80):
+        middle, items, end = sentence(rng, size), [sentence(rng, 7) for _ in range(4)], sentence(rng, size)
+        own = {k: (sentence(rng, 150), sentence(rng, 150)) for k in range(6)}
+        menu = "".join(f"<li>{x}</li>" for x in items)
+        pages = [(k, f"http://h.example/{k}", f"<body><p>{a}</p><p>{middle}</p><p>{b}</p><ul>{menu}</ul><p>{end}</p></body>") for k, (a, b) in own.items()]
+        df = spark.createDataFrame(pages, "page_id long, url string, html string")
+        assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == {k: f"{a}\n\n{b}" for k, (a, b) in own.items()}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
