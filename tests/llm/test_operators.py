@@ -281,6 +281,25 @@ def test_html_text_repeated_blocks_anywhere(spark):
         assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == {k: f"{a}\n\n{b}" for k, (a, b) in own.items()}
 
 
+def html_pages(spark, pages):
+    """Main texts of pages given by id as host and blocks."""
+    rows = [(k, f"http://{host}/{k}", "<body>" + "".join(f"<p>{b}</p>" for b in texts)) for k, (host, *texts) in pages.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text.split("\n\n") for r in html_text.main_text(df).collect()}
+
+
+def test_html_text_counts_distinct_pages(spark):
+    rng = random.Random(13)
+    frames, two, notice, article = [sentence(rng, 40) for _ in range(5)], sentence(rng, 40), sentence(rng, 25), sentence(rng, 120)
+    own = {k: sentence(rng, 120) for k in range(24)}
+    pages = {k: ("big.example", own[k], frames[k % 5]) for k in range(20)}  # five templates, none on half of the pages
+    pages |= {k: ("two.example", own[k], two) for k in (20, 21)}
+    pages |= {k: ("copies.example", article) for k in (30, 31, 32, 33)}  # one page four times
+    pages |= {k: ("copies.example", own[k], notice) for k in (22, 23)} | {34: ("copies.example", article, notice)}
+    expected = {k: [own[k]] for k in range(24)} | {k: [article] for k in range(30, 35)}
+    assert html_pages(spark, pages) == expected
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
