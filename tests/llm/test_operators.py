@@ -300,6 +300,17 @@ def test_html_text_counts_distinct_pages(spark):
     assert html_pages(spark, pages) == expected
 
 
+def test_html_text_short_articles_in_long_frames(spark):
+    rng = random.Random(14)
+    footer, notice, article = sentence(rng, 60), sentence(rng, 40), sentence(rng, 80)
+    own = {k: sentence(rng, 60 if k < 4 else 8) for k in range(8)}
+    pages = {k: ("short.example" if k < 4 else "shorter.example", own[k], footer, notice) for k in own}
+    pages |= {k: ("copies.example", f"Read {k} times", article, notice) for k in (10, 11, 12)}  # copies but for a counter
+    pages |= {k: ("copies.example", sentence(rng, 60), notice) for k in range(20, 25)}
+    expected = {k: [own[k]] for k in own} | {k: [f"Read {k} times", article] for k in (10, 11, 12)} | {k: [pages[k][1]] for k in range(20, 25)}
+    assert html_pages(spark, pages) == expected
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
