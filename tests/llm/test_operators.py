@@ -311,6 +311,16 @@ def test_html_text_short_articles_in_long_frames(spark):
     assert html_pages(spark, pages) == expected
 
 
+def test_html_text_tells_pages_apart_by_the_whole_digest(spark):
+    rng = random.Random(15)
+    footer, own = sentence(rng, 40), []
+    while len(own) < 3:  # digests alike in their last five bits
+        text = sentence(rng, 40)
+        if html_text.hash_text(f"{text}\n\n{footer}") % 32 == 7:
+            own.append(text)
+    assert html_pages(spark, {k: ("h.example", t, footer) for k, t in enumerate(own)}) == {k: [t] for k, t in enumerate(own)}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
