@@ -37,9 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier document, or place, has already; n_chars follows the text."""
+    """Takes out lines of any length that an earlier document, or place, has already; n_chars follows the text."""
     ship(spark)
-    kept = unit_dedup.deduplicate(docs).drop("n_units", "removed")
+    kept = unit_dedup.deduplicate(docs, min_words=1).drop("n_units", "removed")
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

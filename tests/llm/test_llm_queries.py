@@ -42,3 +42,11 @@ def test_pipeline(spark):
             texts = {r.doc_id: r.text or "" for r in docs.collect()}
             assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(out.select("doc_id", "ids")).collect()} == texts
         docs = out
+
+
+def test_pipeline_takes_out_short_repeated_lines(spark):
+    queries.ship(spark)
+    rows = [(1, "All rights reserved\nfirst\n\nlast"), (2, "second\nall rights  reserved\n\nlast"), (3, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_units(spark, docs, SF_DIR).collect()}
+    assert out == {1: rows[0][1], 2: "second\n", 3: ""}
