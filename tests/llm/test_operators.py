@@ -338,6 +338,13 @@ def test_nearest_neighbours(spark):
     assert {r.query_id for r in found} == set(range(0, 1500, 100)) and hits >= 0.9 * 150
 
 
+def test_nearest_neighbours_signs_of_zero(spark):
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = neighbours.nearest_neighbours(df, F.col("vec_id") < 3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == [(1, 1, 2, 0.0), (1, 2, 3, 2.0), (2, 1, 1, 0.0), (2, 2, 3, 2.0)]
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -187,7 +187,9 @@ def nearest_neighbours(table_: DataFrame, queries, id_column: str = "vec_id", ve
     spark = table_.sparkSession
     finite = F.forall(vector_column, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     sound = F.col(id_column).isNotNull() & F.coalesce(finite & F.exists(vector_column, lambda x: x != 0), F.lit(False))
-    rows = table_.where(sound).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    # -0.0 becomes 0.0: they are equal in a window's key and differ as strings.
+    plain = F.transform(vector_column, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
+    rows = table_.where(sound).select(F.col(id_column).cast("long").alias("id"), plain.alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     rows = rows.where(F.size("vector") == (sizes["size"] if sizes else 0)).dropDuplicates(["id"])
     # The smallest k + 1 ids of each vector; the smallest stands for it in the graph.
