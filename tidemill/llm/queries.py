@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, decontaminate, filter_audit, html_text, lattice, line_rules, near_dup, neighbours, repeats, token_files, toxicity, unit_dedup
+from tidemill.llm import bpe, decontaminate, filter_audit, html_text, lattice, line_rules, near_dup, neighbours, repeats, sharded_lloyd, token_files, toxicity, unit_dedup
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_nearest_neighbours": (neighbours.op1_nearest_neighbours, None),
@@ -22,6 +22,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_suffix_dedup": (repeats.op8_suffix_dedup, None),
     "op9_lattice_score": (lattice.op9_lattice_score, None),
     "op10_html_text": (html_text.op10_html_text, None),
+    "op11_sharded_lloyd": (sharded_lloyd.op11_sharded_lloyd, sharded_lloyd.OP11_SQL),
     "op12_line_rules": (line_rules.op12_line_rules, line_rules.OP12_SQL),
     "op13_filter_audit": (filter_audit.op13_filter_audit, filter_audit.OP13_SQL),
 }
