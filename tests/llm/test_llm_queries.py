@@ -1,5 +1,7 @@
 """Registered queries against their SQL, and the pipeline's stages against what they promise."""
 
+from collections import Counter
+
 import pytest
 from compare import difference
 
@@ -50,3 +52,36 @@ def test_pipeline_takes_out_short_repeated_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r.text for r in corpus_pipeline.repeated_units(spark, docs, SF_DIR).collect()}
     assert out == {1: rows[0][1], 2: "second\n", 3: ""}
+
+
+AWKWARD = "doc_id long, text string, source string, score double, kept boolean, removed string, n_units int, mark long, `key` string"
+
+
+def _awkward(spark, rows):
+    return spark.createDataFrame([(i, t, "s", 0.5, True, "r", n, 1, "k") for n, (i, t) in enumerate(rows)], AWKWARD)
+
+
+def test_pipeline_stages_lose_no_unrelated_row(spark):
+    """Null and repeated ids: a rejected row takes no other with it, and of equal rows one stays."""
+    queries.ship(spark)
+    copy, other, third = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, copy), (None, copy), (None, other), (7, copy), (5, third), (7, other + " end"), (5, third), (8, None), (8, None), (9, "")]
+    docs = _awkward(spark, rows)
+    out = corpus_pipeline.near_duplicates(spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in out.collect())
+    assert left == Counter([(1, copy), (5, third), (7, other + " end"), (8, None), (8, None), (9, "")])
+    benchmark = table(spark, SF_DIR, "benchmark").where("length(text) > 100").first().text
+    rows = [(1, benchmark), (1, copy), (None, benchmark), (None, other), (2, None), (2, "")]
+    out = corpus_pipeline.contaminated_documents(spark, _awkward(spark, rows), SF_DIR)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, copy), (None, other), (2, None), (2, "")])
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, None), (3, ""), (3, "x " * 30_000)]])
+def test_pipeline_stages_take_empty_tables_and_odd_rows(spark, rows):
+    queries.ship(spark)
+    docs = _awkward(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_DIR)
+        assert out.count() == len(rows)
+        assert name == "byte_bpe" or out.columns == docs.columns

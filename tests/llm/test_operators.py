@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
 from tidemill.llm import (
@@ -93,11 +94,11 @@ def test_piece_memory_does_not_change_ids(monkeypatch):
 
 
 def test_token_files_round_trip(spark):
-    rows = documents()
+    rows = documents() + [(900, "a <|endoftext|> b"), (901, "<|endoftext|><|endoftext|>"), (902, "x" * 200_000 + " <|endof text|>")]
     folder = scratch_dir(spark, "tokens")
     manifest = token_files.write_token_files(frame(spark, rows), folder)
     found = {r.doc_id: r for r in token_files.read_token_files(manifest, folder, ids=True).collect()}
-    tokenizer, start = bpe.load_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), 0
+    tokenizer, start = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
     for i, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         assert (found[i].start, found[i].n_tokens, found[i].ids) == (start, len(ids), ids)
@@ -105,6 +106,34 @@ def test_token_files_round_trip(spark):
         start += len(ids)
 
 
+@pytest.mark.parametrize("size", [1 << 21, 3])
+def test_token_files_null_and_repeated_ids(spark, monkeypatch, size):
+    rows = [(5, "five five"), (None, "none at all"), (5, "five five"), (5, "other five"), (None, None), (-3, "minus")]
+    folder = scratch_dir(spark, "tokens")
+    monkeypatch.setattr(token_files, "RANGE_IDS", size)
+    manifest = token_files.write_token_files(frame(spark, rows), folder, shards=2)
+    found = sorted(token_files.read_token_files(manifest, folder, ids=True).collect(), key=lambda r: r.start)
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [(-(1 << 63) if i is None else i, (*tokenizer.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in rows]
+    assert [r.doc_id for r in found] == sorted(i for i, _ in expected)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in found) == Counter(expected)
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+
+
+def test_shards_follow_the_bytes(spark, monkeypatch):
+    docs = frame(spark, [(i, "x" * 1000) for i in range(50)] + [(99, None)])
+    assert token_files.shard_count(docs, "text") == 1
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 500)
+    assert token_files.shard_count(docs, "text") == 100
+
+
+def test_own_pattern_holds_for_all_characters():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.PieceEncoder(path, r"\S+|\s+")
+    single = [own.encode([p])[0].tolist() for p in ("don't\u2c7b", " ", "a1")]
+    assert own.encode(["don't\u2c7b a1"])[0].tolist() == sum(single, [])
+
+
 def test_decontamination_short_items_and_copies(spark):
     rng = random.Random(2)
     rows = documents()
@@ -210,13 +239,25 @@ def test_unit_dedup_keeps_the_first_and_says_where(spark):
     line = "one two three four five six seven eight nine ten"
     rows = [(3, f"{line}\nshort\n{line.upper()} "), (1, f"head\n{line}"), (2, None), (4, ""), (5, f"  {line}\nshort")]
     own = {r.doc_id: r for r in unit_dedup.deduplicate(frame(spark, rows)).collect()}
-    assert {i: own[i].text for i in own} == {3: "short", 1: f"head\n{line}", 2: None, 4: "", 5: "short"}
+    assert {i: own[i].text for i in own} == {3: "short", 1: f"head\n{line}", 2: None, 4: "", 5: ""}
     assert [(s.place, s.start, s.end) for s in own[3].removed] == [(0, 0, len(line)), (2, len(line) + 7, 2 * len(line) + 8)]
     paragraphs = [(1, f"{line}\n\nx"), (2, f"y\n \n{line}\n\nz")]
     own = {r.doc_id: r.text for r in unit_dedup.deduplicate(frame(spark, paragraphs), unit="paragraph").collect()}
     assert own == {1: f"{line}\n\nx", 2: "y\n\nz"}
 
 
+def test_unit_dedup_null_and_repeated_ids_long_texts_and_clashing_names(spark):
+    long = "\n".join(f"line {i}" for i in range(20_000))
+    rows = [(2, "a\nb", 1, "r"), (2, "a\nb", 2, "s"), (2, "b\nc", 3, None), (None, "a\nd", 4, "t"), (7, long, 5, "u"), (8, "x\nline 19999", 6, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, N_units int, removed string")
+    out = unit_dedup.deduplicate(docs)
+    assert out.columns == ["doc_id", "text", "N_units", "removed", "n_units_", "removed_"]
+    texts = {r.N_units: r.text for r in out.collect()}
+    # A null id ranks first; rows of equal id and text are one document; of one id the text hash decides.
+    assert texts[4] == "a\nd" and texts[5] == long and texts[6] == "x"
+    assert texts[1] == texts[2] and {texts[1], texts[3]} in ({"b", "c"}, {"", "b\nc"})
+
+
 def test_lattice_marginal_is_the_sum_over_segmentations():
     path = public_tokenizers.path("piece_bpe_32k.model")
     own = lattice.vocabulary(path)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import expand, packed, steps, table
 
 #: Distinct pieces that a worker remembers; later ones are encoded again in each step.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Characters that all regular-expression engines class alike. Texts with others are split by the
 #: library itself, whose tables of Unicode may be of another year than those of `regex`.
@@ -61,9 +61,7 @@ def load_tokenizer(path: str):
     from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
     if path.endswith(".json"):
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+        return Tokenizer.from_file(path)
     ranks, names = _ranks(path), byte_characters()
     spelled = {token: "".join(names[b] for b in token) for token in ranks}
     merges = [
@@ -109,7 +107,10 @@ class PieceEncoder:
 
     def __init__(self, path: str, pattern: str):
         self.tokenizer, self.split = load_tokenizer(path), regex.compile(pattern).findall
-        self.latin = _LATIN_SPLIT.findall if pattern == public_tokenizers.PATTERN else self.split
+        self.standard = pattern == public_tokenizers.PATTERN
+        # Tokens the library finds in the text before it splits it; texts with one are left to it as a whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.slots = _Slots()
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts, self.counts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -136,8 +137,13 @@ class PieceEncoder:
         """Ids of each text."""
         number, used, slots = self.slots.__getitem__, self.used, []
         for text in texts:
-            if not _LATIN.search(text):
-                pieces = self.latin(text)
+            if self.added(text):
+                slots.append(None)
+                continue
+            if not self.standard:
+                pieces = self.split(text)
+            elif not _LATIN.search(text):
+                pieces = _LATIN_SPLIT.findall(text)
             elif not _SETTLED.search(text):
                 pieces = self.split(text)
             else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.session import materialize, scratch_dir  # noqa: F401  general helpers
+from tidemill import session
+from tidemill.session import default_setting, scratch_dir  # noqa: F401  general helpers
 
 #: Text bytes that one numpy step works on. A longer document makes a step of its own.
 STEP_BYTES = 1 << 21
 
 
+#: Text bytes that one Arrow batch brings to a task, unless the session says otherwise.
+BATCH_BYTES = "4m"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """session.materialize with small Arrow batches: rows here hold whole texts, in joins two of them."""
+    with default_setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        return session.materialize(df, purpose)
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; its memory is its own affair
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,6 +74,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = S
                 offsets[first : last + 1] - offsets[first],
             )
             first = last
+    release()
 
 
 def byte_table(excluded: list[tuple[int, int]]) -> np.ndarray:

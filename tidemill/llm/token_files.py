@@ -25,14 +25,24 @@ from pyspark.sql import functions as F
 from tidemill.llm.bpe import encoder
 from tidemill.llm.common import scratch_dir, steps, table
 
-#: Bytes of text that make one shard, about.
-SHARD_BYTES = 1 << 26
+#: Bytes of text that make one shard, about; smaller tables make a shard per core, down to LEAST_BYTES each.
+SHARD_BYTES = 1 << 27
+LEAST_BYTES = 1 << 22
+#: Ids that a reader holds at a time.
+RANGE_IDS = 1 << 21
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
 
 
+def shard_count(documents: DataFrame, text_column: str) -> int:
+    """How many shards the bytes of all texts make."""
+    size = documents.agg(F.sum(F.octet_length(text_column).cast("long"))).first()[0] or 0
+    small = min(-(-size // LEAST_BYTES), 2 * documents.sparkSession.sparkContext.defaultParallelism)
+    return max(1, small, -(-size // SHARD_BYTES))
+
+
 def write_token_files(documents: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text", *,
                       path: str | None = None, pattern: str = public_tokenizers.PATTERN, end_id: int = 0,
                       dtype: str = "<u2", shards: int | None = None) -> DataFrame:
@@ -44,7 +54,7 @@ def write_token_files(documents: DataFrame, folder: str, id_column: str = "doc_i
     """
     spark = documents.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shard_count(documents, text_column)
     limit = np.iinfo(np.dtype(dtype)).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,13 +104,22 @@ def write_token_files(documents: DataFrame, folder: str, id_column: str = "doc_i
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A file's integers: mapped to memory on a mounted folder, else read from its store."""
-    store, root = _store(folder)
-    if isinstance(store, pafs.LocalFileSystem):
-        return np.memmap(f"{root}/{name}", dtype, "r")
-    with store.open_input_file(f"{root}/{name}") as file:
-        return np.frombuffer(file.read(), dtype)
+class _Integers:
+    """A file of integers, read by ranges: mapped to memory on a mounted folder, else fetched from its store."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        store, root = _store(folder)
+        self.dtype, self.file = np.dtype(dtype), None
+        if isinstance(store, pafs.LocalFileSystem):
+            self.mapped = np.memmap(f"{root}/{name}", dtype, "r")
+        else:
+            self.file = store.open_input_file(f"{root}/{name}")
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.file is None:
+            return np.array(self.mapped[at])
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((at.stop - at.start) * size, at.start * size), self.dtype)
 
 
 def read_token_files(manifest: DataFrame, folder: str, dtype: str = "<u2", *, ids: bool = False) -> DataFrame:
@@ -110,21 +129,28 @@ def read_token_files(manifest: DataFrame, folder: str, dtype: str = "<u2", *, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n, tokens = row["n_documents"], _mapped(folder, f"{row['name']}.ids", dtype)
-                index = _mapped(folder, f"{row['name']}.idx", "<i8")
-                for first in range(0, n, 10_000):
+                n, tokens = row["n_documents"], _Integers(folder, f"{row['name']}.ids", dtype)
+                index = _Integers(folder, f"{row['name']}.idx", "<i8")
+                first = 0
+                while first < n:
+                    # As many documents as a range of ids holds; a longer document is a range of its own.
                     last = min(n, first + 10_000)
-                    cuts = np.array(index[n + first : n + last + 1])
-                    parts = [np.array(tokens[a:b]).astype("<u4") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    cuts = index[n + first : n + last + 1]
+                    last = first + max(1, int(np.searchsorted(cuts, cuts[0] + RANGE_IDS, "right")) - 1)
+                    cuts = cuts[: last - first + 1]
+                    held = tokens[int(cuts[0]) : int(cuts[-1])].astype("<u4")
+                    parts = [held[a:b] for a, b in zip(cuts[:-1] - cuts[0], cuts[1:] - cuts[0], strict=True)]
                     out = {
-                        "doc_id": np.array(index[first:last]),
+                        "doc_id": index[first:last],
                         "start": row["base"] + cuts[:-1],
                         "n_tokens": np.diff(cuts),
                         "ids_crc32": np.array([zlib.crc32(p.tobytes()) for p in parts], np.int64),
                     }
                     yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array([p.astype(np.int64) for p in parts])} if ids else {}))
+                    first = last
 
-    spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+    # One manifest row is the work of a task, up to a number of tasks that Spark's driver can follow.
+    spread = manifest.repartition(min(max(1, manifest.count()), 50_000), "shard")
     return spread.mapInArrow(run, schema)
 
 

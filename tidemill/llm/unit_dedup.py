@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import lists, materialize, steps, table
 
-#: Shorter units stay: headings, list marks and short sentences repeat without being copies.
-MIN_WORDS = 10
-
 _BREAKS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t\r\f\v]*\n\\s*")}
 _CAPITALS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPACE = re.compile("[ \t\n\r\f\v]+")
@@ -36,8 +33,8 @@ def _spans(text: str, unit: str) -> list[tuple[int, int]]:
     return list(zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(text)], strict=True))
 
 
-def units(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit of (id, mark, text) that has `min_words` words: id, mark, place, start, end, digest."""
+def units(documents: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
+    """One row per unit of (id, mark, text) that has `min_words` words or more: id, mark, place, start, end, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, ends in steps(batches):
@@ -65,7 +62,7 @@ def _marked(documents: DataFrame, id_column: str, text_column: str) -> DataFrame
     return documents.withColumn("__mark", F.xxhash64(F.col(text_column))).withColumn("__id", F.col(id_column))
 
 
-def repeated_units(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, unit: str = "line", min_words: int = 1) -> DataFrame:
     """The units to remove, by document: id, mark, spans array<struct<place, start, end>>, in order.
 
     Null and empty texts have no units. Rows equal in id and text are one document: a unit that
@@ -81,16 +78,27 @@ def repeated_units(documents: DataFrame, id_column: str = "doc_id", text_column:
     return gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
+def free_names(wanted: list[str], taken: list[str]) -> list[str]:
+    """The names, each with underscores behind it until no column (in any case of letters) has it."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remove_units(documents: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, unit: str = "line") -> DataFrame:
-    """`documents` with the spans' units taken out of the text and `n_units`, `removed` (the spans) added.
+    """`documents` with the spans' units taken out of the text and two columns added at the end: `n_units`
+    and `removed` (the spans). Where a name is taken already, the added column's gets underscores behind it.
 
     What remains is joined by the unit's break: a line break, or a blank line. A text that loses
     nothing stays as it is; a null text stays null.
     """
-    if clash := {"n_units", "removed"} & set(documents.columns):
-        raise ValueError(f"columns {clash} exist already")
     names = documents.columns
-    left, right = _marked(documents, id_column, text_column), spans.select(F.col("id").alias("__i"), F.col("mark").alias("__m"), "spans")
+    n_units, removed = free_names(["n_units", "removed"], names)
+    left, right = _marked(documents, id_column, text_column), spans.select(F.col("id").alias("__i"), F.col("mark").alias("__m"), F.col("spans").alias("__spans"))
     joined = left.join(right, F.col("__id").eqNullSafe(F.col("__i")) & F.col("__mark").eqNullSafe(F.col("__m")), "left")
     glue = {"line": "\n", "paragraph": "\n\n"}[unit]
 
@@ -98,7 +106,7 @@ def remove_units(documents: DataFrame, spans: DataFrame, id_column: str = "doc_i
         for rows, data, ends in steps(batches, text_column):
             raw, texts, counts = data.tobytes(), [], []
             present = rows.column(text_column).is_valid().to_pylist()
-            for cut, there, a, b in zip(rows.column("removed").to_pylist(), present, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            for cut, there, a, b in zip(rows.column(removed).to_pylist(), present, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 text = raw[a:b].decode() if there else None
                 kept = _spans(text, unit) if text else []
                 counts.append(len(kept))
@@ -107,43 +115,45 @@ def remove_units(documents: DataFrame, spans: DataFrame, id_column: str = "doc_i
                     text = glue.join(text[s:e] for k, (s, e) in enumerate(kept) if k not in gone)
                 texts.append(text)
             columns = [pa.array(texts, rows.schema.field(c).type) if c == text_column else rows.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), rows.column("removed")], [*names, "n_units", "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), rows.column(removed)], [*names, n_units, removed])
 
-    chosen = joined.select(*names, F.coalesce("spans", F.expr("array()")).cast("array<struct<place:int,start:int,end:int>>").alias("removed"))
+    cut = F.coalesce("__spans", F.expr("array()")).cast("array<struct<place:int,start:int,end:int>>").alias(removed)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields]
-    return chosen.mapInArrow(run, ", ".join([*fields, "n_units long", "removed array<struct<place:int,start:int,end:int>>"]))
+    return joined.select(*names, cut).mapInArrow(run, ", ".join([*fields, f"{n_units} long", f"{removed} array<struct<place:int,start:int,end:int>>"]))
 
 
-def deduplicate(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicate(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, unit: str = "line", min_words: int = 1) -> DataFrame:
     """`documents` without their repeated units; see repeated_units and remove_units."""
     spans = materialize(repeated_units(documents, id_column, text_column, unit=unit, min_words=min_words), "repeats")
     return remove_units(documents, spans, id_column, text_column, unit=unit)
 
 
 def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines of all documents: counts, the removed lines' places and a digest of what stays."""
+    """Repeated lines of all documents: characters and lines removed, their places and a digest of what stays."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = F.aggregate("removed", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
     return deduplicate(documents).select(
         "doc_id",
-        "n_units",
-        F.size("removed").cast("long").alias("n_removed"),
+        sizes.alias("n_removed"),
+        F.size("removed").cast("long").alias("lines_removed"),
         F.coalesce(F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ","), F.lit("")).alias("removed_spans"),
+        F.col("n_units").alias("lines_seen"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
-OP7_SQL = f"""
+OP7_SQL = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS u FROM documents WHERE text IS NOT NULL AND text <> ''),
 x AS (SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS line FROM l),
 y AS (SELECT *, translate(trim(regexp_replace(line, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS plain,
     coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM x),
-z AS (SELECT *, len(plain) - len(replace(plain, ' ', '')) + 1 >= {MIN_WORDS}
-    AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, i) > 1 AS gone FROM y),
-k AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+z AS (SELECT *, plain <> '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, i) > 1 AS gone FROM y),
+k AS (SELECT doc_id, count(*) AS lines_seen, count(*) FILTER (WHERE gone) AS lines_removed,
+    coalesce(sum(length(line)) FILTER (WHERE gone), 0)::BIGINT AS n_removed,
     coalesce(string_agg(begins::BIGINT || '-' || (begins + length(line))::BIGINT, ',' ORDER BY i) FILTER (WHERE gone), '') AS removed_spans,
     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM z GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(lines_removed, 0) AS lines_removed, coalesce(lines_seen, 0) AS lines_seen,
   coalesce(removed_spans, '') AS removed_spans, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN k USING (doc_id)
 """
