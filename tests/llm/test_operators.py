@@ -341,6 +341,26 @@ def test_html_text_counts_distinct_pages(spark):
     assert html_pages(spark, pages) == expected
 
 
+def test_html_text_short_notices_go_and_articles_stay(spark):
+    rng = random.Random(16)
+    notice, shared, own = sentence(rng, 12), sentence(rng, 40), {k: sentence(rng, 60) for k in range(16)}
+    bare = {k: ("n.example", own[k], notice) for k in range(8)}
+    assert html_pages(spark, bare) == {k: [own[k]] for k in range(8)}
+    rows = [(k, f"http://n.example/{k}", f"<body><div>{notice}</div><article><p>{own[k]}</p><p>{shared}</p></article><div>{notice}</div></body>") for k in range(8, 16)]
+    rows += rows[:2] + [(None, "http://n.example/n", f"<p>{own[0]}</p><p>{notice}</p>"), (99, None, "<main><p>" + "long words " * 50_000 + "</p></main>")]
+    rows += [(k, f"http://n.example/{k}", f"<p>{b}</p><p>{c}</p>") for k, (_, b, c) in bare.items() if k]
+    found = html_text.main_text(spark.createDataFrame([(*r, "x", True) for r in rows], "page_id long, url string, html string, parts string, bare boolean")).collect()
+    expected = Counter({(k, f"{own[k]}\n\n{shared}"): 1 + (k < 10) for k in range(8, 16)})
+    expected += Counter([(None, own[0]), (99, ("long words " * 50_000).strip()), *((k, own[k]) for k in range(1, 8))])
+    assert Counter((r.page_id, r.text) for r in found) == expected
+
+
+def test_html_text_is_what_the_markup_leaves_where_pages_have_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = {r.page_id: html_text._chosen(html_text.blocks(r.html or "")) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == plain
+
+
 def test_html_text_short_articles_in_long_frames(spark):
     rng = random.Random(14)
     footer, notice, article = sentence(rng, 60), sentence(rng, 40), sentence(rng, 80)
