@@ -1,17 +1,19 @@
 """Files into the dated table, once each, however often a run is interrupted.
 
-State lives in three Parquet folders next to the table: the ledger, one status row per
-file and run, and the rejected lines or elements. A load notes its files as `started`,
+State lives in three folders next to the table: the ledger, one status row per file and run, and
+the rejected lines or elements. A load notes its files as `started`,
 appends their rows and only then notes them as `processed`. A rerun therefore knows
 which files may be in the table in part, and for just those appends only what is missing.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -22,6 +24,8 @@ from tidemill.functions.text import strip
 from tidemill.operators import documents, labeled, ledger, status
 from tidemill.session import materialize, pin_splits, require_settings, scratch_dir
 from tidemill.sources import files as sources
+from tidemill.sources import landing, paths
+from tidemill.sources.ledger_files import LedgerFiles
 from tidemill.sources.tables import append_rows, missing_rows, state_folder
 from tidemill.spec import JSON_PATTERN, JSON_RECORD, TEXT_PATTERN, TEXT_RECORD, UNKNOWN_TS, RecordSpec
 
@@ -54,7 +58,7 @@ TEXT = Lane(
     spec=TEXT_RECORD,
     pattern=TEXT_PATTERN,
     raw_columns="source_file string, block bigint, line_no bigint, value string",
-    read=lambda spark, found: sources.read_lines(spark, [path for path, _ in found]),
+    read=sources.read_listed,
     prepare=labeled.classify,
     summarize=labeled.block_summary,
     records=labeled.records,
@@ -97,19 +101,33 @@ class Store:
 
     root: str
 
-    def ledger(self, spark: SparkSession) -> DataFrame:
-        return state_folder(spark, f"{self.root}/ledger", ledger.SCHEMA, "stage")
+    @property
+    def entries(self) -> LedgerFiles:
+        return LedgerFiles(f"{self.root}/ledger")
 
-    def status(self, spark: SparkSession) -> DataFrame:
-        return state_folder(spark, f"{self.root}/status", STATUS_SCHEMA, "run_id")
+    def ledger(self, spark: SparkSession, names: DataFrame | None = None) -> DataFrame:
+        """All ledger rows; with `names` (source_file) those of their buckets, which hold all of theirs."""
+        return self.entries.read(spark, names)
+
+    def status(self, spark: SparkSession, run_ids: list[str] | None = None) -> DataFrame:
+        """Status rows of all runs, or of the runs named, whose folders alone are opened then."""
+        if run_ids is None:
+            return state_folder(spark, f"{self.root}/status", STATUS_SCHEMA, "run_id")
+        if not run_ids:
+            return spark.createDataFrame([], STATUS_SCHEMA)
+        reader = spark.read.schema(STATUS_SCHEMA).option("basePath", f"{self.root}/status")
+        return reader.parquet(*[f"{self.root}/status/run_id={run_id}" for run_id in run_ids])
 
     def rejects(self, spark: SparkSession) -> DataFrame:
         return state_folder(spark, f"{self.root}/rejects", REJECT_SCHEMA, "run_id")
 
     def mark(self, names: DataFrame, stage: str, ts: str, run_id: str) -> None:
         """Append one ledger row per name, as few files."""
-        rows = ledger.entries(names, stage, ts, run_id)
-        rows.hint("rebalance").write.mode("append").partitionBy("stage").parquet(f"{self.root}/ledger")
+        self.entries.append(ledger.entries(names, stage, ts, run_id))
+
+    def tidy(self, spark: SparkSession) -> None:
+        """Merge what recent runs have added to the ledger, if it is much."""
+        self.entries.merge(spark)
 
     def put(self, kind: str, rows: DataFrame, run_id: str) -> None:
         """Replace this run's rows of `kind`, so that repeating a run repeats nothing."""
@@ -134,7 +152,7 @@ def load_frame(
     spark = frame.sparkSession
     require_settings(spark)
     pin_splits(spark)
-    entries = store.ledger(spark)
+    entries = store.ledger(spark, names)
     blocks = materialize(lane.summarize(lane.prepare(frame)), f"{lane.name}-blocks")
     ingested = ledger.at_stage(entries, INGESTED).groupBy("source_file").agg(F.max("ts").alias("ledger_ts"))
     facts = (
@@ -146,7 +164,7 @@ def load_frame(
     facts = materialize(facts, f"{lane.name}-facts")
     loading = facts.where("loads")
     store.put("status", status.file_status(blocks, names), run_id)
-    outcome = store.status(spark).where(F.col("run_id") == run_id)
+    outcome = store.status(spark, [run_id])
     totals = outcome.agg(
         F.count_if(F.col("status") == "processed").alias("files"),
         F.sum("n_valid").alias("rows"),
@@ -191,49 +209,114 @@ def _names(spark: SparkSession, found: list[tuple[str, int]]) -> DataFrame:
     return spark.createDataFrame(rows, "source_file string")
 
 
-def load_files(
-    spark: SparkSession,
+def _fail(spark: SparkSession, found: list[tuple[str, int]], store: Store, run_id: str) -> None:
+    rows = _names(spark, found).select(
+        "source_file", *[F.lit(0).cast("bigint").alias(n) for n in ("n_valid", "n_reject", "n_cast_failures")], F.lit("failed").alias("status")
+    )
+    store.put("status", rows, run_id)
+
+
+def _unreadable(error: Exception) -> bool:
+    """Whether a job ended because a file could not be read, rather than for what it does or writes."""
+    text = str(error)
+    return "FAILED_READ_FILE" in text or landing.UNREADABLE in text
+
+
+def isolate(
     found: list[tuple[str, int]],
-    lane: Lane,
-    table: str,
-    store: Store,
     run_id: str,
-    run_ts: str,
-) -> DataFrame | None:
-    """Load listed (path, length) files; those already processed are left alone."""
+    load: Callable[[list[tuple[str, int]], str], None],
+    fail: Callable[[list[tuple[str, int]], str], None],
+) -> list[str]:
+    """Load listed files, whatever some of them are like; returns the ids of the runs it took.
+
+    A batch that ends in a read error is split: the files the error names fail and the rest is one
+    batch; where it names none of them, the halves are loaded one after the other, down to the file.
+    So k bad files take k more loads, or 2 k log2(n) at most, and what loads stays loaded.
+    """
+    todo, done = [(found, run_id)], []
+    while todo:
+        batch, own = todo.pop()
+        try:
+            load(batch, own)
+            done.append(own)
+            continue
+        except Exception as error:
+            if not _unreadable(error):
+                raise
+            text = str(error)
+        named = [f for f in batch if _is_named(f[0], text)]
+        if len(batch) == 1 or len(named) == len(batch):
+            fail(batch, own)
+            done.append(own)
+        elif named:
+            fail(named, f"{own}-f")
+            done.append(f"{own}-f")
+            todo.append(([f for f in batch if f not in named], f"{own}-r"))
+        else:
+            middle = len(batch) // 2
+            todo += [(batch[middle:], f"{own}-b"), (batch[:middle], f"{own}-a")]
+    return done
+
+
+def _is_named(path: str, text: str) -> bool:
+    """Whether a message names a path, as it is or URL-encoded, and not just as the beginning of another."""
+    scheme = path.split(":", 1)[0] + ":" if ":" in path.split("/", 1)[0] else ""
+    spelled = {path, scheme + quote(path.removeprefix(scheme), safe="/!$&'()*+,;=:@~-._")}
+    return any(re.search(re.escape(p) + r"(?![^\s:.,\"')\]]|\.\w)", text) for p in spelled if p in text)
+
+
+def run_files(
+    spark: SparkSession, found: list[tuple[str, int]], lane: Lane, table: str, store: Store, run_id: str, run_ts: str
+) -> list[str]:
+    """Load listed (path, length) files; those already processed are left alone. Returns the run ids used."""
     names = _names(spark, found)
-    done = ledger.seen(names, ledger.at_stage(store.ledger(spark), PROCESSED)).distinct()
+    done = ledger.seen(names, ledger.at_stage(store.ledger(spark, names), PROCESSED)).distinct()
     skip = {row["source_file"] for row in done.collect()}  # at most the files of this call
     found = [(path, length) for path, length in found if path.rsplit("/", 1)[-1] not in skip]
-    if not found:
-        return None
-    names = _names(spark, found)
-    try:
-        with _contents(spark, lane, found) as frame:
-            return load_frame(frame, names, lane, table, store, run_id, run_ts)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    # Some went after they were listed: they fail, the others load.
-    with _contents(spark, lane, sources.existing(spark, found)) as frame:
-        return load_frame(frame, names, lane, table, store, run_id, run_ts)
-
-
-def retry_failed(
-    spark: SparkSession, directory: str, lane: Lane, table: str, store: Store, run_ts: str, max_files: int = 1_000
-) -> None:
-    """Load again the files in `directory` that have failed and are not processed."""
-    failed = store.status(spark).where("status = 'failed'").select("source_file").distinct()
-    failed = materialize(ledger.unseen(failed, ledger.at_stage(store.ledger(spark), PROCESSED)), "failed")
-    if failed.isEmpty():
-        return
-    prefix = _run_prefix(run_ts)
-    for number, batch in enumerate(batches(ledger.seen(sources.list_files(spark, directory, lane.pattern), failed), max_files)):
-        load_files(spark, batch, lane, table, store, f"{prefix}-{number}", run_ts)
+
+    def load(batch: list[tuple[str, int]], own: str) -> None:
+        names = _names(spark, batch)
+        try:
+            with _contents(spark, lane, batch) as frame:
+                load_frame(frame, names, lane, table, store, own, run_ts)
+            return
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        # Some went after they were listed: they fail, the others load.
+        left = sources.existing(spark, batch)
+        if not left:
+            _fail(spark, batch, store, own)
+            return
+        with _contents(spark, lane, left) as frame:
+            load_frame(frame, names, lane, table, store, own, run_ts)
+
+    return isolate(found, run_id, load, lambda batch, own: _fail(spark, batch, store, own)) if found else []
+
+
+def load_files(
+    spark: SparkSession, found: list[tuple[str, int]], lane: Lane, table: str, store: Store, run_id: str, run_ts: str
+) -> DataFrame | None:
+    """Load listed (path, length) files; the status of those not processed before, None if all were."""
+    used = run_files(spark, found, lane, table, store, run_id, run_ts)
+    return store.status(spark, used) if used else None
+
+
+def archive_processed(spark: SparkSession, directory: str, lane: Lane, store: Store, archive: str, stage: str = PROCESSED, max_files: int = 10_000) -> int:
+    """Move the files of `directory` that are past `stage` into `archive`; returns how many.
+
+    What the ledger says decides, not what a run remembers: a file whose mark is there and whose move
+    is not, for a run died between the two, goes with the next call. Others stay. A file of the same
+    name in the archive is replaced.
+    """
+    listed = sources.list_files(spark, directory, lane.pattern)
+    done = ledger.at_stage(store.ledger(spark, listed.select("source_file")), stage)
+    return sum(paths.move_into(spark, path, archive) for batch in batches(ledger.seen(listed, done), max_files) for path, _ in batch)
 
 
 def report_hidden(spark: SparkSession, directory: str, lane: Lane, store: Store, run_id: str) -> None:
-    """Note files that Spark's readers pass over, for their names begin with `_` or `.`, as skipped."""
+    """Note files as skipped that neither Spark's sources nor Python's workers can read; see sources.files."""
     names = sources.hidden_files(spark, directory, lane.pattern)
     if names:
         rows = [(name, 0, 0, 0, "skipped") for name in names]
@@ -269,12 +352,20 @@ def load_directory(
     are read, whatever the size of what has been loaded before.
     """
     listing = sources.list_files(spark, directory, lane.pattern)
-    pending = ledger.unseen(listing, ledger.at_stage(store.ledger(spark), PROCESSED))
-    prefix = _run_prefix(run_ts)
-    for number, batch in enumerate(batches(pending, max_files)):
-        load_files(spark, batch, lane, table, store, f"{prefix}-{number}", run_ts)
+    prefix, used = _run_prefix(run_ts), []
+    for number, batch in enumerate(batches(pending_files(spark, listing, store), max_files)):
+        store.tidy(spark)
+        used += run_files(spark, batch, lane, table, store, f"{prefix}-{number}", run_ts)
     report_hidden(spark, directory, lane, store, f"{prefix}-hidden")
-    return status.run_summary(store.status(spark).where(F.col("run_id").startswith(prefix + "-")))
+    return status.run_summary(store.status(spark, used))
+
+
+def pending_files(spark: SparkSession, listing: DataFrame, store: Store) -> DataFrame:
+    """The listed files that are not processed; of the ledger their buckets are read."""
+    store.tidy(spark)
+    listing = materialize(listing, "listing")
+    done = ledger.at_stage(store.ledger(spark, listing.select("source_file")), PROCESSED)
+    return ledger.unseen(listing, done)
 
 
 def _run_prefix(run_ts: str) -> str:
@@ -301,15 +392,15 @@ def ingest_directory(
     nothing behind that counts. JSON files must be strict arrays to get in.
     """
     require_settings(spark)
-    listing = sources.list_files(spark, directory, lane.pattern)
-    known = ledger.at_stage(store.ledger(spark), INGESTED)
+    listing = materialize(sources.list_files(spark, directory, lane.pattern), "listing")
+    known = ledger.at_stage(store.ledger(spark, listing.select("source_file")), INGESTED)
     # Written down before this run adds to the ledger: who was known at its start.
     skipped = materialize(ledger.seen(listing.select("source_file"), known), "skipped")
     prefix = _run_prefix(run_ts)
     outcomes = scratch_dir(spark, "outcomes")
     skipped.select("source_file", F.lit("skipped").alias("status")).write.parquet(outcomes)
-    for number, batch in enumerate(batches(ledger.unseen(listing, known), max_files)):
-        run_id = f"{prefix}-{number}"
+
+    def copy(batch: list[tuple[str, int]], run_id: str) -> None:
         names = _names(spark, batch)
         with _contents(spark, lane, batch) as frame:
             good = _readable(frame, names) if lane.name == JSON.name else names
@@ -317,8 +408,15 @@ def ingest_directory(
             kept.write.mode("overwrite").parquet(f"{raw}/run_id={run_id}")
         store.mark(good, INGESTED, run_ts, run_id)
         result = names.join(good.withColumn("status", F.lit("processed")), "source_file", "left")
-        result = result.withColumn("status", F.coalesce("status", F.lit("failed")))
-        result.write.mode("append").parquet(outcomes)
+        result.withColumn("status", F.coalesce("status", F.lit("failed"))).write.mode("append").parquet(outcomes)
+
+    def fail(batch: list[tuple[str, int]], run_id: str) -> None:
+        _names(spark, batch).withColumn("status", F.lit("failed")).write.mode("append").parquet(outcomes)
+
+    for number, batch in enumerate(batches(ledger.unseen(listing, known), max_files)):
+        store.tidy(spark)
+        isolate(batch, f"{prefix}-{number}", copy, fail)
+    report_hidden(spark, directory, lane, store, f"{prefix}-hidden")
     return spark.read.schema("source_file string, status string").parquet(outcomes)
 
 
@@ -357,4 +455,4 @@ def seed_ledger(
     else:
         known = ledger.names_from_log(lines).withColumn("ts", F.lit(UNKNOWN_TS))
     rows = known.select(F.lit(stage).alias("stage"), "source_file", strip("ts").alias("ts"), F.lit("log").alias("run_id"))
-    rows.hint("rebalance").write.mode("append").partitionBy("stage").parquet(f"{store.root}/ledger")
+    store.entries.append(rows)

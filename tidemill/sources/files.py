@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.arraysplit import split_arrays
+from tidemill.sources import landing, paths
 
 # Above this a JSON file is cut into chunks rather than read as one value. It only has
 # to stay well below the parser's limit for one value (128 MiB).
@@ -23,27 +24,21 @@ def _file_name() -> Column:
     return F.when(name.contains("%"), decoded).otherwise(name).alias("source_file")
 
 
-def _qualified(spark: SparkSession, directory: str):
-    """The directory's Hadoop path with scheme, as it stands before the names Spark lists, and its file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return path.makeQualified(system.getUri(), system.getWorkingDirectory()), system
-
-
 def directly_in(spark: SparkSession, directory: str) -> Column:
     """Whether a listed `path` lies in `directory` itself, not in a folder below."""
-    prefix = F.lit(_qualified(spark, directory)[0].toString().rstrip("/") + "/")
+    prefix = F.lit(paths.qualified(spark, directory) + "/")
     return F.col("path").startswith(prefix) & ~F.contains(F.substr("path", F.length(prefix) + 1), F.lit("/"))
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
     """(source_file, path, length) of the files directly in `directory`; contents stay unread.
 
-    Folders below, whatever their names, neither add files nor hide any: with the recursive
-    lookup Spark does not take `k=v` folders for partitions. Files whose names begin with `_` or
-    `.` are not listed; see hidden_files.
+    Folders below, whatever their names, neither add files nor hide any: with the recursive lookup
+    Spark does not take `k=v` folders for partitions. Names that begin with `_`, or with `.` if the
+    pattern does, are files like others; Spark's listing leaves them out, so that they come from a
+    listing of their own, where Python's workers reach the storage (see hidden_files).
     """
-    listing = (
+    listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
@@ -52,25 +47,30 @@ def list_files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
         .select(_file_name(), "path", "length")
     )
     # Tasks are sized by file bytes, which are not read here: a few tasks are plenty.
-    return listing.coalesce(spark.sparkContext.defaultParallelism)
+    listed = listed.coalesce(spark.sparkContext.defaultParallelism)
+    where = paths.qualified(spark, directory)
+    return listed.unionByName(landing.hidden_files(spark, where, pattern)) if landing.reachable(where) else listed
 
 
 def hidden_files(spark: SparkSession, directory: str, pattern: str) -> list[str]:
-    """Names that match the pattern but that Spark's readers pass over, for they begin with `_` or `.`."""
-    path, system = _qualified(spark, directory)
+    """Names that match the pattern and cannot be read: Spark's sources pass over them, and Python's
+    workers have no file system for the storage. None, where they have one."""
+    if landing.reachable(paths.qualified(spark, directory)):
+        return []
+    path, system = paths.located(spark, directory)
     found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "[_.]*"))
     names = [s.getPath().getName() for s in found or () if s.isFile()]
-    return sorted(n for n in names if fnmatch.fnmatchcase(n, pattern))
+    return sorted(n for n in names if landing.matches(n, pattern))
+
+
+def is_hidden(path: str) -> bool:
+    """Whether Spark's sources pass over a file of this path."""
+    return path.rsplit("/", 1)[-1][:1] in ("_", ".")
 
 
 def existing(spark: SparkSession, found: Sequence[tuple[str, int]]) -> list[tuple[str, int]]:
     """Those of the listed (path, length) files that are still there."""
-    out = []
-    for path, length in found:
-        where, system = _qualified(spark, path)
-        if system.exists(where):
-            out.append((path, length))
-    return out
+    return [(path, length) for path, length in found if paths.exists(spark, path)]
 
 
 def _located(paths: str | Sequence[str]) -> str | list[str]:
@@ -86,6 +86,20 @@ def _reader(spark: SparkSession, pattern: str | None) -> DataFrameReader:
     return reader if pattern is None else reader.option("pathGlobFilter", pattern)
 
 
+def _hidden(spark: SparkSession, found: list[tuple[str, int]], ends: str) -> DataFrame:
+    # Bytes become text as they are, like in Spark's text source.
+    return landing.read_hidden(spark, found, ends).withColumn("value", F.col("value").cast("string"))
+
+
+def read_listed(spark: SparkSession, found: Sequence[tuple[str, int]]) -> DataFrame:
+    """Lines frame of listed (path, length) files of any names."""
+    plain = [path for path, _ in found if not is_hidden(path)]
+    parts = [read_lines(spark, plain)] if plain else []
+    if hidden := [(path, length) for path, length in found if is_hidden(path)]:
+        parts.append(_hidden(spark, hidden, "line").drop("file_size"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """Lines frame of text files: a directory (with a name pattern) or listed files."""
     return _reader(spark, pattern).text(_located(paths)).select(
@@ -117,15 +131,22 @@ def read_documents(
 ) -> DataFrame:
     """Documents frame of JSON files given as (path, length)."""
     files = list(files)
-    small = [path for path, length in files if length <= whole_limit]
-    large = [path for path, length in files if length > whole_limit]
     zero = F.lit(0).cast("bigint")
-    parts = []
-    if small:
-        whole = _reader(spark, None).text(_located(small), wholetext=True)
-        parts.append(whole.select(_file_name(), zero.alias("block"), zero.alias("chunk"), "value"))
-    if large:
-        parts.append(split_arrays(read_pieces(spark, large)))
+    parts, pieces = [], []
+    for hidden in (False, True):
+        own = [f for f in files if is_hidden(f[0]) == hidden]
+        small, large = [f for f in own if f[1] <= whole_limit], [f for f in own if f[1] > whole_limit]
+        names = [path for path, _ in small]
+        if small and hidden:
+            whole = _hidden(spark, small, "file")
+            parts.append(whole.select("source_file", zero.alias("block"), zero.alias("chunk"), "value"))
+        elif small:
+            whole = _reader(spark, None).text(_located(names), wholetext=True)
+            parts.append(whole.select(_file_name(), zero.alias("block"), zero.alias("chunk"), "value"))
+        if large:
+            pieces.append(_hidden(spark, large, "brace") if hidden else read_pieces(spark, [path for path, _ in large]))
+    if pieces:
+        parts.append(split_arrays(reduce(DataFrame.unionByName, pieces)))
     if not parts:
         return spark.createDataFrame([], "source_file string, block bigint, chunk bigint, value string")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
