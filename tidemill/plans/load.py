@@ -17,7 +17,7 @@ from urllib.parse import quote
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import strip
@@ -26,7 +26,7 @@ from tidemill.session import materialize, pin_splits, require_settings, scratch_
 from tidemill.sources import files as sources
 from tidemill.sources import landing, paths
 from tidemill.sources.ledger_files import LedgerFiles
-from tidemill.sources.tables import append_rows, missing_rows, state_folder
+from tidemill.sources.tables import append_sampled, missing_rows, state_folder
 from tidemill.spec import JSON_PATTERN, JSON_RECORD, TEXT_PATTERN, TEXT_RECORD, UNKNOWN_TS, RecordSpec
 
 INGESTED, STARTED, PROCESSED = "ingested", "started", "processed"
@@ -51,6 +51,7 @@ class Lane:
     records: Callable[..., DataFrame]
     rejects: Callable[[DataFrame], DataFrame]
     costly: Callable[[list[tuple[str, int]]], bool]  # reading these files again costs more than keeping them
+    sample: int  # rows of a load that are kept to be looked at
 
 
 TEXT = Lane(
@@ -64,6 +65,7 @@ TEXT = Lane(
     records=labeled.records,
     rejects=labeled.rejects,
     costly=lambda found: False,
+    sample=3,
 )
 
 JSON = Lane(
@@ -77,9 +79,15 @@ JSON = Lane(
     records=documents.records,
     rejects=documents.rejects,
     costly=lambda found: any(length > sources.WHOLE_DOCUMENT_BYTES for _, length in found),
+    sample=2,
 )
 
 
+def _sample_schema(spec: RecordSpec) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in spec.schema}
+    return ", ".join(f"{c} {kinds[c]}" for c in spec.data_columns)
+
+
 @contextmanager
 def _contents(spark: SparkSession, lane: Lane, found: list[tuple[str, int]]) -> Iterator[DataFrame]:
     """What the files hold. Cutting up large JSON files takes shuffles, so that is done
@@ -125,6 +133,15 @@ class Store:
         """Append one ledger row per name, as few files."""
         self.entries.append(ledger.entries(names, stage, ts, run_id))
 
+    def sample(self, spark: SparkSession, spec: RecordSpec) -> DataFrame:
+        """Rows kept of each run, with the run's id."""
+        return state_folder(spark, f"{self.root}/sample", _sample_schema(spec) + ", run_id string", "run_id")
+
+    def put_sample(self, spark: SparkSession, rows: list[Row], spec: RecordSpec, run_id: str) -> None:
+        """Keep the few rows that the write pass has picked."""
+        picked = [tuple(row[c] for c in spec.data_columns) for row in rows]
+        self.put("sample", spark.createDataFrame(picked, _sample_schema(spec)).coalesce(1), run_id)
+
     def tidy(self, spark: SparkSession) -> None:
         """Merge what recent runs have added to the ledger, if it is much."""
         self.entries.merge(spark)
@@ -188,7 +205,8 @@ def load_frame(
             rows = sure.select(*missing.columns).unionByName(missing)
         else:
             rows = lane.records(lane.prepare(placed), keep=("ingest_ts",))
-        written = append_rows(rows.withColumn("processing_ts", F.lit(run_ts)), table, lane.spec)
+        written, shown = append_sampled(rows.withColumn("processing_ts", F.lit(run_ts)), table, lane.spec, lane.sample)
+        store.put_sample(spark, shown, lane.spec, run_id)
         if written != expected:
             # Left as started, so the next run adds what is missing.
             raise RuntimeError(f"{lane.name} run {run_id}: {written} rows written, {expected} counted")

@@ -5,23 +5,37 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import documents, labeled, reports, status
+from tidemill.operators import documents, labeled, ledger, reports, status
 from tidemill.operators.arraysplit import split_arrays
-from tidemill.plans.load import JSON, STARTED, TEXT, Store, ingest_directory, load_directory, load_raw
+from tidemill.plans.load import (
+    JSON,
+    PROCESSED,
+    STARTED,
+    TEXT,
+    Store,
+    archive_processed,
+    ingest_directory,
+    load_directory,
+    load_raw,
+)
 from tidemill.queries.landing import ORDERS_SQL, event_documents, events_sql, order_lines, table
 from tidemill.queries.text_lane import parsed_orders, stamped_order_lines
 from tidemill.session import materialize, scratch_dir
 from tidemill.sources import files as sources
-from tidemill.sources import tables
+from tidemill.sources import paths, tables
+from tidemill.sources.ledger_files import LedgerFiles
 from tidemill.spec import HEADER_MARKER, JSON_RECORD, TEXT_RECORD
 from tidemill.streaming.incremental import load_new
 
 RUN_TS = "2026-04-01 00:00:00"
 LATER_TS = "2026-04-01 01:00:00"
 LARGE_FILE_OBJECTS = 500
+GIVEN = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 def _new_table(spark: SparkSession, spec=TEXT_RECORD) -> tuple[str, str]:
@@ -58,12 +72,109 @@ def _gold_table(spark: SparkSession, sf_dir: str) -> str:
     return name
 
 
+PARTS = 4
+
+
+def _named_files(spark: SparkSession, lines: DataFrame, names: Column, landing: str) -> None:
+    """Text files by name, some thousands at most, of the lines (value) that `names` gives to each."""
+    written = scratch_dir(spark, "by_name")
+    lines.select(names.alias("name"), "value").repartition("name").write.partitionBy("name").text(written)
+    for folder in paths.names_in(spark, written):
+        for part in paths.names_in(spark, f"{written}/{folder}") if folder.startswith("name=") else ():
+            if part.startswith("part-"):
+                paths.rename(spark, f"{written}/{folder}/{part}", f"{landing}/{folder.removeprefix('name=')}")
+
+
 def landing_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes found by listing the documents written as text files."""
-    path = scratch_dir(spark, "landing")
-    table(spark, sf_dir, "documents").select("text").write.text(path)
-    listed = sources.list_files(spark, path, "*.txt")
-    return listed.agg(F.sum("length").alias("bytes"))
+    """Name and length of every landing file: the documents as text files by source and part, some with underscores."""
+    landing = scratch_dir(spark, "landing")
+    docs = table(spark, sf_dir, "documents")
+    part = F.pmod("doc_id", F.lit(PARTS))
+    name = F.concat(F.when(part == 1, "_").otherwise(""), "source", F.format_string("-%d.txt", part))
+    _named_files(spark, docs.withColumn("value", F.col("text")), name, landing)
+    return sources.list_files(spark, landing, "*.txt").select("source_file", "length")
+
+
+def underscored_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines by month in files half of which begin with an underscore: batch load of some, stream of the rest."""
+    landing = scratch_dir(spark, "landing")
+    name, base = _new_table(spark)
+    store = Store(f"{base}/state")
+    lines = order_lines(spark, sf_dir)
+    month = F.substr("source_file", F.lit(8), F.lit(6))
+    file = F.concat(F.when(F.pmod(F.substr(month, F.lit(5)).cast("int"), F.lit(2)) == 1, "_").otherwise(""), month, F.lit(".txt"))
+    early = F.col("source_file") < "orders_19980101"
+    _named_files(spark, lines.where(early), file, landing)
+    load_directory(spark, landing, TEXT, name, store, RUN_TS)
+    _named_files(spark, lines.where(~early), file, landing)
+    load_new(spark, landing, TEXT, name, store, f"{base}/checkpoint", LATER_TS).awaitTermination()
+    spark.catalog.refreshTable(name)
+    return spark.table(name).groupBy("source_file", "processing_ts").agg(F.count("*").alias("records"), F.sum("attendance").alias("attendance"))
+
+
+def archive_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each landing file is after a load with an archive: files without a record stay."""
+    landing, archive = scratch_dir(spark, "landing"), scratch_dir(spark, "archive")
+    name, base = _new_table(spark)
+    store = Store(f"{base}/state")
+    lines = order_lines(spark, sf_dir)
+    record = F.col("value").contains("Event ID: ")
+    file = F.concat(F.when(record, "").otherwise("_rejects_"), F.substr("source_file", F.lit(8), F.lit(4)), F.lit(".txt"))
+    _named_files(spark, lines, file, landing)
+    load_directory(spark, landing, TEXT, name, store, RUN_TS)
+    archive_processed(spark, landing, TEXT, store, archive)
+    places = [sources.list_files(spark, folder, "*.txt").select(F.lit(place).alias("place"), "source_file") for place, folder in (("archive", archive), ("landing", landing))]
+    return places[0].unionByName(places[1])
+
+
+def load_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a load keeps to be looked at, picked by the pass that writes them."""
+    landing = scratch_dir(spark, "landing")
+    name, base = _new_table(spark)
+    store = Store(f"{base}/state")
+    _write_lines(order_lines(spark, sf_dir), landing)
+    load_directory(spark, landing, TEXT, name, store, RUN_TS)
+    return store.sample(spark, TEXT_RECORD).drop("run_id")
+
+
+def ledger_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of customers not in the ledger, which has merged a mark per event type into bucketed runs."""
+    files = LedgerFiles(f"{scratch_dir(spark, 'state')}/ledger")
+    events = table(spark, sf_dir, "events")
+    named = F.format_string("c%d.json", "user_id").alias("source_file")
+    for (kind,) in events.select("event_type").distinct().orderBy("event_type").collect():
+        seen = events.where(F.col("event_type") == kind).select(named).distinct()
+        files.append(ledger.entries(seen, PROCESSED, RUN_TS, kind))
+        files.merge(spark, most=1)
+    customers = table(spark, sf_dir, "customer").select(F.format_string("c%d.json", "c_custkey").alias("source_file"))
+    return ledger.unseen(customers, ledger.at_stage(files.read(spark, customers), PROCESSED))
+
+
+def raw_preview_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First elements that are no objects in the raw table over JSON files."""
+    path = scratch_dir(spark, "raw")
+    _write_documents(event_documents(spark, sf_dir), path)
+    name = f"raw_{uuid.uuid4().hex}"
+    tables.create_raw_table(spark, name, path)
+    odd = F.col("raw_line").rlike("^  [0-9]+,?$")
+    return reports.listing(spark.table(name), ["raw_line"], odd, order=["raw_line"], limit=3)
+
+
+def catalog_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the given tables, by way of the catalog: a database is made, listed, and its tables described."""
+    base = scratch_dir(spark, "catalog")
+    database = f"tidemill_catalog_{uuid.uuid4().hex[:8]}"
+    tables.create_database(spark, database, f"{base}/db")
+    for given in GIVEN:
+        spark.sql(f"CREATE TABLE {database}.{given} USING parquet LOCATION '{paths.qualified(spark, f'{sf_dir}/{given}.parquet')}'")
+    found = [row["namespace"] for row in tables.databases(spark, database).collect()]
+    described = None
+    for row in tables.tables(spark, found[0]).collect():  # as many as tables are given
+        own = tables.describe(spark, f"{database}.{row['tableName']}").withColumn("row", F.monotonically_increasing_id())
+        first_note = own.where("col_name = ''").agg(F.min("row").alias("end"))
+        columns = own.join(first_note, own["row"] < first_note["end"]).select(F.lit(row["tableName"]).alias("table_name"), "col_name", "data_type")
+        described = columns if described is None else described.unionByName(columns)
+    return described
 
 
 def raw_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +327,51 @@ def _steps_sql() -> str:
     )
 
 
+def _sample_sql(size: int) -> str:
+    digest = "md5(concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in TEXT_RECORD.data_columns) + "))"
+    return f"""SELECT {_PARSED_COLUMNS} FROM (SELECT *, {digest} AS digest FROM parsed)
+    QUALIFY row_number() OVER (PARTITION BY ('0x' || substr(digest, 1, 8))::BIGINT % {size} ORDER BY digest) = 1"""
+
+
 QUERIES = {
     "landing_listing": (
         landing_listing,
-        "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents",
+        f"""SELECT CASE WHEN doc_id % {PARTS} = 1 THEN '_' ELSE '' END || source || '-' || doc_id % {PARTS} || '.txt' AS source_file,
+        CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM documents GROUP BY ALL""",
+    ),
+    "underscored_load": (
+        underscored_load,
+        _with(
+            """SELECT CASE WHEN CAST(m[5:] AS INTEGER) % 2 = 1 THEN '_' ELSE '' END || m || '.txt' AS source_file,
+            CASE WHEN m < '199801' THEN '"""
+            + RUN_TS
+            + "' ELSE '"
+            + LATER_TS
+            + """' END AS processing_ts, count(*) AS records, CAST(sum(attendance) AS BIGINT) AS attendance
+            FROM (SELECT *, substr(source_file, 8, 6) AS m FROM parsed) GROUP BY ALL"""
+        ),
+    ),
+    "archive_consumed": (
+        archive_consumed,
+        """SELECT DISTINCT CASE WHEN o_orderkey % 20 IN (9, 10) THEN 'landing' ELSE 'archive' END AS place,
+        CASE WHEN o_orderkey % 20 IN (9, 10) THEN '_rejects_' ELSE '' END || year(o_orderdate) || '.txt' AS source_file FROM orders""",
+    ),
+    "load_sample": (load_sample, _with(_sample_sql(3))),
+    "ledger_buckets": (
+        ledger_buckets,
+        """SELECT 'c' || c_custkey || '.json' AS source_file FROM customer
+        WHERE c_custkey NOT IN (SELECT user_id FROM events)""",
+    ),
+    "raw_preview_json": (
+        raw_preview_json,
+        """SELECT '  ' || event_id || CASE WHEN event_id % 20 = 19 OR event_id = (SELECT max(event_id) FROM events) THEN '' ELSE ',' END
+        AS raw_line FROM events WHERE event_id % 23 = 22 ORDER BY 1 LIMIT 3""",
+    ),
+    "catalog_inspect": (
+        catalog_inspect,
+        f"""SELECT table_name, column_name AS col_name,
+        CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS data_type
+        FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in GIVEN)})""",
     ),
     "raw_preview": (
         raw_preview,

@@ -58,6 +58,14 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Give a file a name of its own, in whatever folder."""
+    (where, system), (there, _) = located(spark, path), located(spark, to)
+    system.mkdirs(there.getParent())
+    if not system.rename(where, there):
+        raise RuntimeError(f"{path} cannot be renamed to {to}")
+
+
 def move_into(spark: SparkSession, path: str, folder: str) -> bool:
     """Move a file into a folder, over an older one of its name; False if it is gone already."""
     where, system = located(spark, path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.session import default_setting, materialize
@@ -43,8 +43,25 @@ def state_folder(spark: SparkSession, path: str, schema: str, partition: str) ->
 WRITE_TASK_BYTES = "256m"
 
 
-def append_rows(rows: DataFrame, table: str, spec: RecordSpec) -> int:
-    """Append by column name to the dated table; returns the number of rows written.
+def row_digest(columns: list[str]) -> Column:
+    """A digest of a row's values; nulls, which no column of a record has, count as nothing."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
+def sample_of(columns: list[str], size: int) -> list[Column]:
+    """Aggregates that keep `size` rows: the digests make as many classes, and of each the smallest stays.
+
+    What is kept does not depend on order, splits or the number of tasks, and merges like a minimum;
+    fewer rows than `size` may leave classes empty.
+    """
+    digest = row_digest(columns)
+    chosen = F.pmod(F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("bigint"), F.lit(size))
+    row = F.struct(digest.alias("digest"), *columns)
+    return [F.min(F.when(chosen == i, row)).alias(f"sample{i}") for i in range(size)]
+
+
+def append_sampled(rows: DataFrame, table: str, spec: RecordSpec, size: int = 0) -> tuple[int, list[Row]]:
+    """Append by column name to the dated table: the number of rows written, and `size` of them at most.
 
     insertInto goes by position, so columns are put in table order first. The rebalance
     gathers each day into few files, yet splits a day that is larger than a partition
@@ -53,12 +70,18 @@ def append_rows(rows: DataFrame, table: str, spec: RecordSpec) -> int:
     ordered = rows.select(*rows.sparkSession.table(table).columns)
     day = spec.partition.name
     laid_out = ordered.hint("rebalance", F.col(day)).sortWithinPartitions(day, "source_file")
-    # Counted behind the shuffle, in the writing tasks, where a lost executor cannot count twice.
+    # Seen behind the shuffle, in the writing tasks, where a lost executor cannot count twice.
     written = Observation()
-    counted = laid_out.observe(written, F.count(F.lit(1)).alias("rows"))
+    seen = laid_out.observe(written, F.count(F.lit(1)).alias("rows"), *sample_of(spec.data_columns, size))
     with default_setting(rows.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", WRITE_TASK_BYTES):
-        counted.write.mode("append").insertInto(table)
-    return written.get["rows"]
+        seen.write.mode("append").insertInto(table)
+    found = dict(written.get)
+    return found.pop("rows"), [row for row in found.values() if row is not None]
+
+
+def append_rows(rows: DataFrame, table: str, spec: RecordSpec) -> int:
+    """Append by column name to the dated table; returns the number of rows written."""
+    return append_sampled(rows, table, spec)[0]
 
 
 #: Days of a recheck that are named in the filter one by one; more are joined.
