@@ -2,11 +2,12 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import documents
+from tidemill.operators import arraysplit, documents
 from tidemill.operators.arraysplit import split_arrays
 from tidemill.sources.files import read_documents, read_pieces
 
@@ -107,3 +108,21 @@ def test_a_file_without_element_ends_is_not_gathered(spark, tmp_path, splits):
     endless = [r for r in rows if r["source_file"] == "endless.json"]
     assert len(endless) == 1 and endless[0]["value"] is None
     assert sum(r["source_file"] == "fine.json" for r in rows) > 40
+
+
+def test_only_numbers_cross_the_profile_shuffle_and_text_crosses_one(spark, splits, tmp_path):
+    pieces = read_pieces(spark, _write(tmp_path, VALID), "*.json")
+
+    def exchanged(df):
+        text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning\(([^)]*)\)", text)
+
+    found = exchanged(arraysplit._block_profiles(pieces))
+    assert found and not any("value#" in columns for columns, _ in found)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exchanged(split_arrays(pieces))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
+    by = {re.sub(r"#\d+L?", "", keys) for columns, keys in found if "value#" in columns or "text#" in columns}
+    assert by == {"source_file, block, 8"}  # and what stands at block ends, collected by group

@@ -2,8 +2,9 @@
 
 A file is read in pieces that end at each `}` (the reader splits such a file over many
 tasks). What a piece means depends on the text before it in only two ways: whether it
-starts inside a string, and how deep. Both are prefix sums: first inside each block of
-the file, then over the per-block totals, which are a handful of numbers per block.
+starts inside a string, and how deep. So each piece is read once for either start and
+becomes a few numbers, which compose: by prefix sums first inside each block of the file,
+then over the per-block totals, a handful of numbers per block.
 A piece that brings the depth back to one ends a group of whole elements, and each group
 becomes an array of its own. Escapes cannot straddle a cut, as `\\}` is not valid JSON.
 """
@@ -47,38 +48,50 @@ def _net_depth(text: Column) -> Column:
     return _count(outside, "[", "{") - _count(outside, "]")
 
 
-def _scanned(pieces: DataFrame) -> DataFrame:
-    """Add bare (text without escapes) and, counted from the block's start, started and
-    ended: whether quotes have been opened and not closed at either end of the piece."""
+def _numbers(pieces: DataFrame, *keep: str) -> DataFrame:
+    """What a piece does, by itself: flips (does it end in the other state than it starts in?) and the
+    depth change over it and the brace behind it, step_0 if it starts outside strings and step_1 if inside.
+
+    The text is not needed after that: states and depths compose from these numbers.
+    """
     escapes = F.regexp_replace("value", r"(?s)\\.", "")
     bare = F.when(F.col("value").contains("\\"), escapes).otherwise(F.col("value"))
     quoted = pieces.withColumn("bare", bare).withColumn("flips", F.pmod(_count(F.col("bare"), '"'), F.lit(2)))
-    ended = F.pmod(F.sum("flips").over(_up_to_here()), F.lit(2))
-    return quoted.withColumn("ended", ended).withColumn("started", F.pmod(F.col("ended") + F.col("flips"), F.lit(2)))
+    outside, inside = _net_depth(F.col("bare")), _net_depth(F.concat(F.lit('"'), "bare"))
+    return quoted.select(
+        "source_file",
+        "block",
+        "line_no",
+        "flips",
+        (outside - (F.col("flips") == 0).cast("int")).alias("step_0"),
+        (inside - (F.col("flips") == 1).cast("int")).alias("step_1"),
+        *keep,
+    )
 
 
-def _step(started: Column, ended: Column) -> Column:
-    """Depth change over a piece and the brace behind it."""
-    text = F.when(started == 0, F.col("bare")).otherwise(F.concat(F.lit('"'), "bare"))
-    return _net_depth(text) - (ended == 0).cast("int")
+def _states(start: Column) -> tuple[Column, Column]:
+    """Whether each piece starts and ends inside a string, in a block that starts in state `start`."""
+    ended = F.pmod(F.sum("flips").over(_up_to_here()) + start, F.lit(2))
+    return F.pmod(ended + F.col("flips"), F.lit(2)), ended
 
 
-def _with_depths(pieces: DataFrame) -> DataFrame:
+def _step(started: Column) -> Column:
+    return F.when(started == 0, F.col("step_0")).otherwise(F.col("step_1"))
+
+
+def _with_depths(numbers: DataFrame) -> DataFrame:
     """Running depth of each piece inside its block, for both states the block may start in.
 
-    For s in {0: outside, 1: inside a string}: step_s is the depth change of the piece,
+    For s in {0: outside, 1: inside a string}: change_s is the depth change of the piece,
     rel_s the depth behind it relative to the block's start, out_s whether the closing
     brace behind it is structure rather than string content.
     """
-
-    def in_state(s: int, flag: str) -> Column:
-        return F.pmod(F.col(flag) + s, F.lit(2))
-
-    return _scanned(pieces).select(
+    states = [_states(F.lit(s)) for s in (0, 1)]
+    return numbers.select(
         "*",
-        *[_step(in_state(s, "started"), in_state(s, "ended")).alias(f"step_{s}") for s in (0, 1)],
-        *[(in_state(s, "ended") == 0).alias(f"out_{s}") for s in (0, 1)],
-    ).select("*", *[F.sum(f"step_{s}").over(_up_to_here()).alias(f"rel_{s}") for s in (0, 1)])
+        *[_step(started).alias(f"change_{s}") for s, (started, _) in enumerate(states)],
+        *[(ended == 0).alias(f"out_{s}") for s, (_, ended) in enumerate(states)],
+    ).select("*", *[F.sum(f"change_{s}").over(_up_to_here()).alias(f"rel_{s}") for s in (0, 1)])
 
 
 def _block_profiles(pieces: DataFrame) -> DataFrame:
@@ -90,14 +103,14 @@ def _block_profiles(pieces: DataFrame) -> DataFrame:
                     F.lit(s).alias("state"),
                     F.col(f"rel_{s}").alias("rel"),
                     F.col(f"out_{s}").alias("out"),
-                    F.col(f"step_{s}").alias("step"),
+                    F.col(f"change_{s}").alias("step"),
                 )
                 for s in (0, 1)
             ]
         )
     )
     place = ["source_file", "block"]
-    depths = _with_depths(pieces.withColumn("octets", F.octet_length("value") + 1))
+    depths = _with_depths(_numbers(pieces.withColumn("octets", F.octet_length("value") + 1), "octets", "file_size"))
     by_depth = (
         depths.select(*place, "flips", "octets", "file_size", both.alias("h"))
         .groupBy(*place, "h.state", "h.rel")
@@ -176,45 +189,48 @@ def split_arrays(pieces: DataFrame, max_group_bytes: int = MAX_GROUP_BYTES) -> D
     braces, in reading order. A group gathers one array element and what stands before
     it. A file with a stretch too long to be one (say, whose root is no array) is not
     gathered at all: it comes out as a single unreadable chunk.
+
+    Text crosses one shuffle, by block, where the pieces of each group are put together. Only the
+    groups at a block's ends, which may go on in others, are gathered by group after that.
     """
     pin_splits(pieces.sparkSession)
     profiles = materialize(_block_profiles(pieces), "array-blocks")
     starts = _block_starts(profiles, max_group_bytes)
     readable = starts.where(~F.col("hopeless"))
-    placed = _scanned(pieces.drop("file_size")).join(readable, ["source_file", "block"])
-    started, ended = (F.pmod(F.col("state") + F.col(flag), F.lit(2)) for flag in ("started", "ended"))
+    placed = _numbers(pieces, "value").join(readable, ["source_file", "block"])
+    started, ended = _states(F.col("state"))
+    stepped = placed.withColumn("step", _step(started)).withColumn("outside", ended == 0)
     depth = F.col("depth") + F.sum("step").over(_up_to_here())
     is_last = F.col("last_block") & F.lead("line_no").over(_piece_order()).isNull()
-    ends = placed.withColumn("step", _step(started, ended)).withColumn(
-        "ends", ((ended == 0) & (depth == 1) & ~is_last).cast("bigint")
-    )
+    ends = stepped.withColumn("ends", (F.col("outside") & (depth == 1) & ~is_last).cast("bigint"))
     grouped = ends.withColumn(
         "chunk", F.col("groups_before") + F.sum("ends").over(_up_to_here()) - F.col("ends")
     )
-    chunks = (
-        grouped.groupBy("source_file", "chunk")
+    facts = [(F.max("ends") == 1).alias("closed"), F.bool_or("brace_at_end").alias("brace_at_end")]
+    in_block = grouped.groupBy("source_file", "block", "groups_before", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("pieces"), *facts
+    )
+    in_block = in_block.withColumn("text", F.array_join(F.transform("pieces", lambda p: p["value"]), "}"))
+    complete = F.col("closed") & (F.col("chunk") > F.col("groups_before"))
+    columns = ["source_file", "block", "chunk", "text", "closed", "brace_at_end"]
+    across = (
+        in_block.where(~complete)
+        .groupBy("source_file", "chunk")
         .agg(
-            F.array_sort(F.collect_list(F.struct("block", "line_no", "value"))).alias("pieces"),
-            (F.max("ends") == 1).alias("closed"),
+            F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"),
+            F.bool_or("closed").alias("closed"),
             F.bool_or("brace_at_end").alias("brace_at_end"),
         )
-        .select(
-            "source_file",
-            F.col("pieces")[0]["block"].alias("block"),
-            "chunk",
-            F.concat(
-                F.array_join(F.transform("pieces", lambda p: p["value"]), "}"),
-                F.when(F.col("closed"), "}").otherwise(""),
-            ).alias("text"),
-            "closed",
-            "brace_at_end",
-        )
-        .select(
-            "source_file",
-            "block",
-            "chunk",
-            _as_array(F.col("text"), F.col("chunk") == 0, F.col("closed"), F.col("brace_at_end")).alias("value"),
-        )
+        .withColumn("block", F.col("parts")[0]["block"])
+        .withColumn("text", F.array_join(F.transform("parts", lambda p: p["text"]), "}"))
+    )
+    whole = in_block.where(complete).select(*columns).unionByName(across.select(*columns))
+    text = F.when(F.col("closed"), F.concat("text", F.lit("}"))).otherwise(F.col("text"))
+    chunks = whole.select(
+        "source_file",
+        "block",
+        "chunk",
+        _as_array(text, F.col("chunk") == 0, F.col("closed"), F.col("brace_at_end")).alias("value"),
     )
     first_block = F.lit(0).cast("bigint")
     unreadable = starts.where("hopeless").select(
