@@ -211,3 +211,28 @@ def test_archive_after_ingest(spark, lake):
     ingest_directory(spark, str(lake.landing), TEXT, lake.raw, lake.store, T1)
     assert archive_processed(spark, str(lake.landing), TEXT, lake.store, str(lake.archive)) == 0
     assert archive_processed(spark, str(lake.landing), TEXT, lake.store, str(lake.archive), stage=INGESTED) == 1
+
+
+# --- raw runs ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("limit, loads", [(1 << 30, 1), (1, 50)])
+def test_outstanding_raw_runs_load_together(spark, lake, monkeypatch, limit, loads):
+    """Fifty ingest runs that nobody has loaded, one of which has left a folder without a mark."""
+    runs = spark.range(51).selectExpr(
+        "format_string('run%02d', id) AS run_id", "format_string('f%d.txt', id) AS source_file",
+        "0L AS block", "0L AS line_no", "concat('Event ID: E', id, ' | Event Date: 2026-04-01') AS value",
+    )
+    runs.write.partitionBy("run_id").parquet(lake.raw)
+    marked = runs.where("run_id != 'run50'").select(F.lit(INGESTED).alias("stage"), "source_file", F.lit(T1).alias("ts"), "run_id")
+    lake.store.entries.append(marked)
+    monkeypatch.setattr(load, "LOAD_BYTES", limit)
+    assert [len(p) for p in load.packs(spark, marked, lake.raw)] == [50 // loads] * loads
+    if loads > 1:
+        return
+    calls, frame = [], load.load_frame
+    monkeypatch.setattr(load, "load_frame", lambda *a: calls.append(a[5]) or frame(*a))
+    assert tuple(load.load_raw(spark, TEXT, lake.raw, lake.table, lake.store, T2).first()) == (50, 0, 50)
+    assert len(calls) == 1 and len(lake.rows()) == 50
+    assert set(lake.rows("ingest_ts", "processing_ts")) == {(T1, T2)}
+    assert tuple(load.load_raw(spark, TEXT, lake.raw, lake.table, lake.store, T3).first()) == (0, 0, 0)

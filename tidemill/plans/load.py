@@ -452,15 +452,33 @@ def load_raw(
     entries = store.ledger(spark)
     ingested, processed = ledger.at_stage(entries, INGESTED), ledger.at_stage(entries, PROCESSED)
     pending = materialize(ledger.unseen(ingested.select("source_file", "run_id"), processed), "backlog")
-    prefix = _run_prefix(run_ts)
-    # One load per outstanding ingest run, which is one folder of the raw zone.
-    for row in pending.select("run_id").distinct().orderBy("run_id").collect():
-        names = pending.where(F.col("run_id") == row["run_id"]).select("source_file").distinct()
-        # The folder of that run by name: runs loaded long ago are not listed.
-        folder = spark.read.schema(lane.raw_columns).parquet(f"{raw}/run_id={row['run_id']}")
-        frame = ledger.seen(folder, names)
-        load_frame(frame, names, lane, table, store, f"{prefix}-{row['run_id']}", run_ts)
-    return status.run_summary(store.status(spark).where(F.col("run_id").startswith(prefix + "-")))
+    prefix, used = _run_prefix(run_ts), []
+    for number, runs in enumerate(packs(spark, pending, raw)):
+        store.tidy(spark)
+        names = pending.where(F.col("run_id").isin(runs)).select("source_file").distinct()
+        # The folders of these runs by name: runs loaded long ago are not listed.
+        folders = spark.read.schema(lane.raw_columns).parquet(*[f"{raw}/run_id={run}" for run in runs])
+        used.append(f"{prefix}-{number}")
+        load_frame(ledger.seen(folders, names), names, lane, table, store, used[-1], run_ts)
+    return status.run_summary(store.status(spark, used))
+
+
+#: Raw bytes, and ingest runs, that one load takes at most; a run is never cut.
+LOAD_BYTES, LOAD_RUNS = 64 << 30, 1_000
+
+
+def packs(spark: SparkSession, pending: DataFrame, raw: str) -> Iterator[list[str]]:
+    """Outstanding ingest runs in order, packed into loads; one pack of names is held at a time."""
+    held, size = [], 0
+    for row in pending.select("run_id").distinct().orderBy("run_id").toLocalIterator():
+        more = paths.size_of(spark, f"{raw}/run_id={row['run_id']}")
+        if held and (size + more > LOAD_BYTES or len(held) >= LOAD_RUNS):
+            yield held
+            held, size = [], 0
+        held.append(row["run_id"])
+        size += more
+    if held:
+        yield held
 
 
 def seed_ledger(

@@ -29,6 +29,12 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder; 0, if there is none."""
+    where, system = located(spark, path)
+    return system.getContentSummary(where).getLength() if system.exists(where) else 0
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     where, system = located(spark, path)
     stream = system.open(where)
