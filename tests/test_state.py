@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 from test_load import T1, T2, T3, Lake, line
 
-from tidemill.operators import ledger
+from tidemill.operators import documents, ledger
 from tidemill.plans import load
-from tidemill.plans.load import INGESTED, PROCESSED, STARTED, TEXT, archive_processed, ingest_directory, isolate
+from tidemill.plans.load import INGESTED, JSON, PROCESSED, STARTED, TEXT, archive_processed, ingest_directory, isolate
 from tidemill.sources import ledger_files, paths
 from tidemill.sources.ledger_files import LedgerFiles
-from tidemill.spec import TEXT_RECORD
+from tidemill.spec import JSON_RECORD, TEXT_RECORD
 from tidemill.streaming.incremental import load_new
 
 
@@ -213,6 +213,25 @@ def test_archive_after_ingest(spark, lake):
     assert archive_processed(spark, str(lake.landing), TEXT, lake.store, str(lake.archive), stage=INGESTED) == 1
 
 
+def test_raw_json_is_parsed_once(spark, tmp_path):
+    """Ingest parses; what the load reads of the raw zone is neither text nor parsed again."""
+    lake = Lake(spark, tmp_path, JSON_RECORD)
+    texts = {"a.json": '[{"event_id": "A", "metadata": {"broadcast": true}}, 5]', "b.json": "[1", "c.json": '[{"event_id": "C", "attendance": "1e3"}]'}
+    for name, text in texts.items():
+        (lake.landing / name).write_text(text)
+    outcome = ingest_directory(spark, str(lake.landing), JSON, lake.raw, lake.store, T1)
+    assert {tuple(r) for r in outcome.collect()} == {("a.json", "processed"), ("b.json", "failed"), ("c.json", "processed")}
+    assert tuple(load.load_raw(spark, JSON, lake.raw, lake.table, lake.store, T2).first()) == (2, 0, 2)
+    assert lake.rows("event_id", "meta_broadcast", "attendance") == [("A", "true", 0), ("C", "false", 0)]
+    raw = spark.read.schema(JSON.raw_columns).parquet(lake.raw)
+    for frame in (JSON.summarize(raw), JSON.records(raw), JSON.rejects(raw)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "parsejson" not in plan.lower() and "value#" not in plan
+    text = spark.read.parquet(lake.raw)
+    assert {r.source_file: r.value for r in text.collect()} == texts
+    assert documents.parsed(text.select("value"))._jdf.queryExecution().executedPlan().toString().lower().count("parsejson(") == 1
+
+
 # --- raw runs ---------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 A documents frame has (source_file, block, chunk, value); every value is the text of one
 JSON array. A file of ordinary size is one chunk, a large one is many (see arraysplit).
-A file counts only if all of its chunks are strict arrays.
+A file counts only if all of its chunks are strict arrays. A frame may hold the arrays
+parsed (items) beside the text, as the raw zone does; then nothing here parses again.
 """
 
 from __future__ import annotations
@@ -15,15 +16,25 @@ from tidemill.functions.variants import object_fields, strict_array, variant_big
 from tidemill.spec import JSON_RECORD, PREVIEW_CHARS, Field, RecordSpec
 
 
+def _items(documents: DataFrame) -> Column:
+    """The elements of each chunk's array, NULL if it is none."""
+    return F.col("items") if "items" in documents.columns else strict_array(F.col("value"))
+
+
+def parsed(documents: DataFrame) -> DataFrame:
+    """Add items: the chunk's array, parsed once for all that comes after."""
+    return documents.withColumn("items", strict_array(F.col("value")))
+
+
 def validate(documents: DataFrame) -> DataFrame:
     """Add is_valid: the chunk is exactly one JSON array."""
-    return documents.withColumn("is_valid", strict_array(F.col("value")).isNotNull())
+    return documents.withColumn("is_valid", _items(documents).isNotNull())
 
 
-def _objects(value: Column) -> Column:
+def _objects(items: Column) -> Column:
     # Taken apart inside the array, each element is converted once; a filter after the
     # explode would be pushed below it and convert everything a second time.
-    return F.filter(F.transform(strict_array(value), object_fields), lambda m: m.isNotNull())
+    return F.filter(F.transform(items, object_fields), lambda m: m.isNotNull())
 
 
 def _typed(field: Field, value: Column) -> Column:
@@ -43,7 +54,7 @@ def records(documents: DataFrame, spec: RecordSpec = JSON_RECORD, keep: tuple[st
     """
     place = ["source_file", "block", *keep]
     nested = sorted({f.source.split(".")[0] for f in spec.fields if "." in f.source})
-    members = documents.select(*place, F.explode(_objects(F.col("value"))).alias("members")).select(
+    members = documents.select(*place, F.explode(_objects(_items(documents))).alias("members")).select(
         *place,
         "members",
         *[object_fields(F.try_element_at("members", F.lit(n))).alias(f"in_{n}") for n in nested],
@@ -61,7 +72,7 @@ def records(documents: DataFrame, spec: RecordSpec = JSON_RECORD, keep: tuple[st
 
 def rejects(documents: DataFrame) -> DataFrame:
     """Array elements that are not objects, with a short preview."""
-    others = F.filter(strict_array(F.col("value")), lambda v: object_fields(v).isNull())
+    others = F.filter(_items(documents), lambda v: object_fields(v).isNull())
     return documents.select("source_file", F.explode(others).alias("element")).select(
         "source_file",
         F.substring(F.coalesce(F.col("element").cast("string"), F.lit("None")), 1, PREVIEW_CHARS).alias("preview"),
@@ -87,7 +98,7 @@ def block_summary(documents: DataFrame, spec: RecordSpec = JSON_RECORD) -> DataF
         return total
 
     per_chunk = (
-        documents.select("source_file", "block", strict_array(F.col("value")).alias("items"))
+        documents.select("source_file", "block", _items(documents).alias("items"))
         .select("*", F.transform("items", object_fields).alias("members"))
         .select(
             "source_file",

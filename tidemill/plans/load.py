@@ -72,7 +72,7 @@ JSON = Lane(
     name="json",
     spec=JSON_RECORD,
     pattern=JSON_PATTERN,
-    raw_columns="source_file string, block bigint, chunk bigint, value string",
+    raw_columns="source_file string, block bigint, chunk bigint, items array<variant>",
     read=sources.read_documents,
     prepare=lambda frame: frame,
     summarize=documents.block_summary,
@@ -407,7 +407,8 @@ def ingest_directory(
 
     The raw zone is Parquet by ingest run, rows tagged with their file. Its ledger row is
     what makes a file visible to the transform, so a run that stops half way leaves
-    nothing behind that counts. JSON files must be strict arrays to get in.
+    nothing behind that counts. JSON files must be strict arrays to count; their elements
+    are kept as VARIANT beside the text, and a load reads these alone.
     """
     require_settings(spark)
     listing = materialize(sources.list_files(spark, directory, lane.pattern), "listing")
@@ -420,10 +421,13 @@ def ingest_directory(
 
     def copy(batch: list[tuple[str, int]], run_id: str) -> None:
         names = _names(spark, batch)
-        with _contents(spark, lane, batch) as frame:
-            good = _readable(frame, names) if lane.name == JSON.name else names
-            kept = ledger.seen(frame, good) if lane.name == JSON.name else frame
-            kept.write.mode("overwrite").parquet(f"{raw}/run_id={run_id}")
+        folder, good = f"{raw}/run_id={run_id}", names
+        if lane.name == JSON.name:
+            # The text as it came, and its array parsed: the one parse of a document there is.
+            documents.parsed(lane.read(spark, batch)).write.mode("overwrite").parquet(folder)
+            good = _readable(spark.read.schema(lane.raw_columns).parquet(folder), names)
+        else:
+            lane.read(spark, batch).write.mode("overwrite").parquet(folder)
         store.mark(good, INGESTED, run_ts, run_id)
         result = names.join(good.withColumn("status", F.lit("processed")), "source_file", "left")
         result.withColumn("status", F.coalesce("status", F.lit("failed"))).write.mode("append").parquet(outcomes)
