@@ -50,6 +50,9 @@ MARGIN = 0.18
 #: How many times as many representatives a bucket has in the next round.
 GROWTH = 64
 
+#: Classes that one copy of a representative's text is compared with.
+MEETINGS = 256
+
 _FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -305,7 +308,14 @@ def _by_differences(met: DataFrame, texts: DataFrame, size: int, percent: int) -
 
     wanted = met.select("class").union(met.select("rep")).distinct()
     own = texts.join(wanted, "class", "left_semi")
-    joined = met.join(own.withColumnRenamed("text", "x"), "class").join(own.selectExpr("class as rep", "text as y"), "rep")
+    # A representative that thousands have met is dealt out with its text, a share of them to each copy.
+    hot = met.groupBy("rep").agg(F.ceil(F.count("*") / MEETINGS).cast("int").alias("shares")).where("shares > 1")
+    hot = materialize(hot, "hot")
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = met.join(hot, "rep", "left").select("class", "rep", F.pmod(F.xxhash64("class"), shares).cast("int").alias("share"))
+    copies = own.selectExpr("class as rep", "text as y").join(hot, "rep", "left")
+    copies = copies.select("rep", "y", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    joined = dealt.join(own.withColumnRenamed("text", "x"), "class").join(copies, ["rep", "share"])
     schema = "class long, rep long, shingle long, n long, d long, among_free long, with_linked long, free boolean"
     differing = materialize(joined.select("class", "rep", "x", "y").mapInArrow(run, schema), "differences")
     seen = materialize(differing.groupBy("rep", "shingle").agg(F.count("*").alias("df")), "frequencies")

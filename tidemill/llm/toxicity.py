@@ -4,13 +4,15 @@ Text and lexicon are folded alike: lower case, look-alike letters of other scrip
 that stand for letters, and i, l, 1 and | as one letter; zero-width characters go. The lexicon is
 learned: prefixes of words that labelled toxic rows have and others hardly have, each as short as it
 is precise, with its log odds as weight. Aho-Corasick finds them in whole texts where a word begins;
-a hit inside an exception phrase doesn't count. The weights' sum, plain and divided by the text's
+a hit inside an exception phrase doesn't count, and the repetition of one entry counts by its logarithm. The weights' sum, plain and divided by the text's
 length, gives the score by a logistic fit. Learning takes a bounded number of labelled rows; scoring
 takes all rows and nothing but their text.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +27,7 @@ from tidemill.llm.common import bucket_of, materialize, steps, table
 SAMPLE_ROWS = 4_000
 PREFIX_SIZES = range(3, 13)
 PRECISION = 0.9
+#: Different places in toxic rows that an entry must stand in at least, however few rows there are.
 LEAST_ROWS = 4
 LEXICON_SIZE = 5_000
 THRESHOLD = 0.7
@@ -87,46 +90,56 @@ def _features(text: str, machine) -> tuple[float, float, float]:
             for start, end, value in hits:  # of prefixes of one word the longest counts
                 if not any(a <= start and end <= b for a, b in excused):
                     best[start] = max(best.get(start, (0, 0.0)), (end, value))
-            weight = sum(value for _, value in best.values())
+            # A text that says one word over and over says little more than once.
+            times = Counter((folded[start:end], value) for start, (end, value) in best.items())
+            weight = sum(value * (1 + np.log(n)) for (_, value), n in times.items())
     words = text.count(" ") + text.count("\n") + 1
     return np.log1p(weight), weight / np.sqrt(words), min(weight / words, 1.0)
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """(prefix, toxic): each prefix of a row's folded words once."""
+    """(prefix, context, toxic): each prefix of a row's folded words once, and a hash of the words around one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in steps(batches, size=1 << 19):
             raw = data.tobytes()
-            found, counts = [], []
+            found, contexts, counts = [], [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                words = {w.strip(".,;:!?\"'()[]") for w in fold(raw[a:b].decode()).split()}
-                own = {w[:n] for w in words for n in PREFIX_SIZES if len(w) >= n}
+                words = [w.strip(".,;:!?\"'()[]") for w in fold(raw[a:b].decode()).split()]
+                around = dict(zip(words, zip(["", *words], [*words[1:], ""], strict=False), strict=True))
+                own = {w[:n]: beside for w, beside in around.items() for n in PREFIX_SIZES if len(w) >= n}
                 found.extend(own)
+                contexts.extend(zlib.crc32(" ".join(beside).encode()) for beside in own.values())
                 counts.append(len(own))
             toxic = np.repeat(batch.column("toxic").to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic.astype(np.int32))], ["prefix", "toxic"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.string()), pa.array(contexts, pa.int64()), pa.array(toxic.astype(np.int32))], ["prefix", "context", "toxic"]
+            )
 
-    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "prefix string, toxic int")
+    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "prefix string, context long, toxic int")
 
 
 def _lexicon(counts: list, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """The shortest precise prefixes, lengthened while nearly all their toxic rows go along."""
+    """The shortest precise prefixes, lengthened as long as that loses next to nothing of rows times weight."""
     toxic = {r.prefix: (r.toxic, r.clean) for r in counts}
     children: dict[str, list[str]] = {}
     for prefix in toxic:
         children.setdefault(prefix[:-1], []).append(prefix)
+
+    def weight(prefix: str) -> float:
+        t, c = toxic[prefix]
+        return float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)))
+
+    def worth(prefix: str) -> float:
+        return toxic[prefix][0] * weight(prefix)
+
     out = {}
     for prefix in toxic:
         if prefix[:-1] in toxic:
             continue
-        while True:
-            longer = max(children.get(prefix, ()), key=lambda p: toxic[p][0], default=None)
-            if longer is None or toxic[longer][0] < 0.98 * toxic[prefix][0]:
-                break
+        while (longer := max(children.get(prefix, ()), key=worth, default=None)) and worth(longer) >= 0.98 * worth(prefix):
             prefix = longer
-        t, c = toxic[prefix]
-        out[prefix] = float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)))
+        out[prefix] = weight(prefix)
     return {p: w for p, w in out.items() if w > 0}
 
 
@@ -159,10 +172,15 @@ def learn(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     folded = tuple(fold(e) for e in exceptions)
     if not 0 < n_toxic < n_all:
         return Model({}, folded)
-    counts = _prefixes(chosen).groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    counts = _prefixes(chosen).groupBy("prefix", "context").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    # Copies of one toxic text share all of its words, but each in one place: a word that harms stands in many.
+    counts = counts.groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("contexts"))
     # Precise in rows of equal weight for both labels.
     share = F.col("toxic") / n_toxic
-    precise = counts.where((F.col("toxic") >= LEAST_ROWS) & (share >= PRECISION * (share + F.col("clean") / (n_all - n_toxic))))
+    counts = materialize(counts, "prefixes")
+    # So many places that chance alone would not put all of them into toxic rows for one prefix of all there are.
+    least = max(LEAST_ROWS, int(np.ceil(np.log(max(counts.count(), 1)) / np.log(n_all / n_toxic))))
+    precise = counts.where((F.col("contexts") >= least) & (share >= PRECISION * (share + F.col("clean") / (n_all - n_toxic))))
     lexicon = _lexicon(precise.orderBy(F.desc("toxic"), "prefix").limit(LEXICON_SIZE).collect(), n_toxic, n_all - n_toxic)
     model = Model(lexicon, folded)
 
