@@ -459,11 +459,14 @@ def load_raw(
     prefix, used = _run_prefix(run_ts), []
     for number, runs in enumerate(packs(spark, pending, raw)):
         store.tidy(spark)
-        names = pending.where(F.col("run_id").isin(runs)).select("source_file").distinct()
+        own = pending.where(F.col("run_id").isin(runs))
         # The folders of these runs by name: runs loaded long ago are not listed.
-        folders = spark.read.schema(lane.raw_columns).parquet(*[f"{raw}/run_id={run}" for run in runs])
+        reader = spark.read.schema(lane.raw_columns + ", run_id string").option("basePath", raw)
+        folders = reader.parquet(*[f"{raw}/run_id={run}" for run in runs])
+        # A file that an earlier run refused counts as the run has it that took it in.
+        frame = folders.join(own, ["source_file", "run_id"], "left_semi").drop("run_id")
         used.append(f"{prefix}-{number}")
-        load_frame(ledger.seen(folders, names), names, lane, table, store, used[-1], run_ts)
+        load_frame(frame, own.select("source_file").distinct(), lane, table, store, used[-1], run_ts)
     return status.run_summary(store.status(spark, used))
 
 
