@@ -399,6 +399,31 @@ def test_nearest_neighbours(spark):
     assert {r.query_id for r in found} == set(range(0, 1500, 100)) and hits >= 0.9 * 150
 
 
+def test_nearest_neighbours_infinite_components_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [4.0, 0.0]), (2, [3.0, 0.0]), (3, [float("inf"), 0.0]), (4, [0.0, float("-inf")]), (None, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest_neighbours(df, F.lit(True)).collect()
+    # The first vector in order stands for the id; rows with infinite components or no id take no part.
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == [(1, 1, 2, 2.0), (2, 1, 1, 2.0)]
+
+
+def test_neighbour_graph_rounds_end_and_lists_hold_no_pair_twice(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((40, 12)) * 4
+    x = (centres[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 12))).astype(np.float32)
+    nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<float>")
+    graph = {r.id: [(n.d, n.other) for n in r.near] for r in neighbours.build_graph(nodes).collect()}
+    assert set(graph) == set(range(3000))
+    hits = 0
+    for k, near in graph.items():
+        others = [o for _, o in near]
+        assert k not in others and len(set(others)) == len(others) <= neighbours.DEGREE and near == sorted(near)
+        d = ((x - x[k]) ** 2).sum(1)
+        d[k] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(others))
+    assert hits >= 0.95 * 10 * 3000
+
+
 def test_nearest_neighbours_signs_of_zero(spark):
     rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
