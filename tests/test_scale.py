@@ -53,6 +53,14 @@ def test_facts_are_broadcast_only_while_small(spark):
     assert all(r["ingest_ts"] == expected_ts(r) for r in attached(spark).collect())
 
 
+def test_the_header_scan_takes_no_line_apart(spark):
+    text = plan(labeled.block_headers(lines(spark)))
+    assert "split(" not in text and "transform(" not in text
+    facts = status.block_facts(materialize(labeled.block_headers(lines(spark)), "blocks"))
+    rows = status.attach_ingest_ts(labeled.records(labeled.classify(lines(spark))), facts)
+    assert all(r["ingest_ts"] == expected_ts(r) for r in rows.collect())
+
+
 def test_beyond_the_limit_the_join_goes_by_block(spark, no_broadcast):
     text = plan(attached(spark))
     assert "BroadcastHashJoin" not in text

@@ -107,7 +107,10 @@ def ingest_ts(spark, *values, blocks=None):
     numbers = blocks or [0] * len(values)
     lines = spark.createDataFrame([("f", b, n, v) for n, (b, v) in enumerate(zip(numbers, values))], LINES)
     classified = labeled.classify(lines)
-    facts = status.block_facts(labeled.block_summary(classified))
+    counted = labeled.block_summary(classified).select("source_file", "block", "header_ts")
+    scanned = labeled.block_headers(lines)
+    assert sorted(map(tuple, scanned.collect()), key=str) == sorted(map(tuple, counted.collect()), key=str)
+    facts = status.block_facts(scanned)
     return {r["ingest_ts"] for r in status.attach_ingest_ts(labeled.records(classified), facts).collect()}
 
 
@@ -118,6 +121,8 @@ def test_header_timestamp(spark):
     assert ingest_ts(spark, head + "x=1", record, head + "ingest_ts=b", head + "ingest_ts=a", record) == {"b"}
     assert ingest_ts(spark, record, "  " + head + "ingest_ts=a ingest_ts=b") == {"a ingest_ts=b"}
     assert ingest_ts(spark, "note ingest_ts=z", record) == {"unknown"}
+    assert ingest_ts(spark, "note " + head + "ingest_ts=z", record, None, "") == {"unknown"}
+    assert ingest_ts(spark, "\u3000\t" + head + "\x85ingest_ts=\u2003w\u2003", record) == {"w"}
     # The first header by place in the file, not by block order of arrival.
     assert ingest_ts(spark, head + "ingest_ts=late", record, head + "ingest_ts=early", blocks=[9, 9, 0]) == {"early"}
 

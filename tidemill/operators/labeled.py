@@ -115,6 +115,30 @@ def with_header_lines(lines: DataFrame, files: DataFrame, ingest_ts: str | Colum
     return header.unionByName(lines.select(header.columns))
 
 
+def block_headers(lines: DataFrame) -> DataFrame:
+    """One row per (file, block) with the first header timestamp in it; the lines are not taken apart.
+
+    For uses that need the timestamps and no counts. A line is looked into only where it holds both
+    marks of a header, and stripping one that does is all there is to parse. Same groupings as
+    `block_summary`, so equal timestamps.
+    """
+    marked = F.col("value").contains(HEADER_MARKER) & F.col("value").contains(HEADER_TS_KEY)
+    stamp = F.when(
+        marked & strip(F.col("value")).startswith(HEADER_MARKER), strip(after(F.col("value"), HEADER_TS_KEY))
+    )
+    per_header = (
+        lines.select("source_file", "block", "line_no", stamp.alias("header_ts"))
+        .groupBy("source_file", "block", "header_ts")
+        .agg(F.min("line_no").alias("first_line"))
+    )
+    return per_header.groupBy("source_file", "block").agg(_first_header())
+
+
+def _first_header() -> Column:
+    first = F.min(F.when(F.col("header_ts").isNotNull(), F.struct("first_line", "header_ts")))
+    return first["header_ts"].alias("header_ts")
+
+
 def block_summary(classified: DataFrame, spec: RecordSpec = TEXT_RECORD) -> DataFrame:
     """One row per (file, block): counts by kind and the first header timestamp in it.
 
@@ -137,12 +161,9 @@ def block_summary(classified: DataFrame, spec: RecordSpec = TEXT_RECORD) -> Data
             F.min("line_no").alias("first_line"),
         )
     )
-    first_header = F.min(
-        F.when(F.col("header_ts").isNotNull(), F.struct("first_line", "header_ts"))
-    )
     return per_header.groupBy("source_file", "block").agg(
         F.sum("n_valid").alias("n_valid"),
         F.sum("n_reject").alias("n_reject"),
         F.sum("n_cast_failures").alias("n_cast_failures"),
-        first_header["header_ts"].alias("header_ts"),
+        _first_header(),
     )

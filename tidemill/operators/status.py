@@ -16,7 +16,8 @@ def block_facts(blocks: DataFrame) -> DataFrame:
     """Give every block what its file settles: ingest_ts and whether the file loads.
 
     Works on the small summary only. Joining rows to it on (source_file, block) keeps
-    every join group at one block, however large the file.
+    every join group at one block, however large the file. Blocks without counts (`block_headers`)
+    get no `loads`.
     """
     per_file = Window.partitionBy("source_file")
     if "header_ts" in blocks.columns:
@@ -24,13 +25,11 @@ def block_facts(blocks: DataFrame) -> DataFrame:
         ingest_ts = F.min(header).over(per_file)["header_ts"]
     else:
         ingest_ts = F.lit(None).cast("string")
-    readable = F.bool_and("is_valid").over(per_file) if "is_valid" in blocks.columns else F.lit(True)
-    return blocks.select(
-        "source_file",
-        "block",
-        ingest_ts.alias("ingest_ts"),
-        (readable & (F.sum("n_valid").over(per_file) > 0)).alias("loads"),
-    )
+    facts = ["source_file", "block", ingest_ts.alias("ingest_ts")]
+    if "n_valid" in blocks.columns:
+        readable = F.bool_and("is_valid").over(per_file) if "is_valid" in blocks.columns else F.lit(True)
+        facts.append((readable & (F.sum("n_valid").over(per_file) > 0)).alias("loads"))
+    return blocks.select(*facts)
 
 
 def attach_ingest_ts(rows: DataFrame, facts: DataFrame) -> DataFrame:

@@ -181,10 +181,9 @@ def header_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("line_no"),
         value.alias("value"),
     )
-    classified = labeled.classify(lines)
     # Written down first, so that the join sees how small the facts are.
-    facts = status.block_facts(materialize(labeled.block_summary(classified), "blocks"))
-    rows = status.attach_ingest_ts(labeled.records(classified), facts)
+    facts = status.block_facts(materialize(labeled.block_headers(lines), "blocks"))
+    rows = status.attach_ingest_ts(labeled.records(labeled.classify(lines)), facts)
     return rows.select("source_file", "event_id", "ingest_ts")
 
 
@@ -224,10 +223,10 @@ counted AS (
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classified = labeled.classify(stamped_order_lines(spark, sf_dir))
+    lines = stamped_order_lines(spark, sf_dir)
     # Written down first, so that the join sees how small the facts are.
-    facts = status.block_facts(materialize(labeled.block_summary(classified), "blocks"))
-    return reports.lineage(status.attach_ingest_ts(labeled.records(classified), facts))
+    facts = status.block_facts(materialize(labeled.block_headers(lines), "blocks"))
+    return reports.lineage(status.attach_ingest_ts(labeled.records(labeled.classify(lines)), facts))
 
 
 LINEAGE_SQL = f"""
