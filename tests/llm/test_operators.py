@@ -289,6 +289,118 @@ def test_lattice_scores(spark):
         assert own[i].base_score == pytest.approx(base) and own[i].score < 0 and math.isfinite(own[i].score)
 
 
+def test_lattice_scores_against_brute_force(spark):
+    """Every step in plain Python: counts, two rounds of expectation maximisation, forward sums, discounts."""
+    own = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(0, "the cat The cat sat"), (1, "the theable 😀b dog"), (2, "a theable unseenword cat"), (3, None), (5, "中文 dog dog"), (9, "the newest"), (None, "the " * 40)]
+    held_out = F.col("doc_id") % 7 == 2
+    tokens = [(i, re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))) for i, t in rows]
+    held = [i is not None and i % 7 == 2 for i, _ in tokens]
+    counts = Counter(w for (_, words), h in zip(tokens, held, strict=True) if not h for w in words)
+    ends = held.count(False)
+    n = sum(counts.values()) + ends
+    index = {p: k for k, p in enumerate(own.pieces) if own.start[k] > 0}
+
+    def paths(word, weights):
+        """All segmentations of a word: their pieces and byte values, and log weight."""
+        word = "▁" + word
+        out = {0: [((), 0.0)]}
+        for j in range(1, len(word) + 1):
+            out[j] = []
+            for i in range(j):
+                part = word[i:j]
+                if part in index and not (i and part[0] == "▁"):
+                    step, cost = (index[part],), weights.pieces[index[part]]
+                elif j - i == 1 and part not in index:
+                    step = tuple(len(own.pieces) + b for b in part.encode())
+                    cost = sum(weights.bytes[b] for b in part.encode())
+                else:
+                    continue
+                out[j] += [(used + step, log + cost) for used, log in out[i]]
+        return out[len(word)]
+
+    weights = lattice.Weights(own, lattice.initial_counts(own))
+    for _ in range(lattice.ROUNDS):
+        expected = np.zeros(len(own.pieces) + 257)
+        for word in counts:  # each distinct word once, as the lattice gives the mass of new words
+            ways = paths(word, weights)
+            whole = sum(math.exp(log) for _, log in ways)
+            for used, log in ways:
+                np.add.at(expected, list(used), math.exp(log) / whole)
+            expected[-1] += 1
+        weights = lattice.Weights(own, expected)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = (once + 0.5) / (once + 2 * twice + 1)
+
+    def log10(word):
+        marginal = sum(math.exp(log) for _, log in paths(word, weights)) * math.exp(weights.stop)
+        return math.log10(max(counts[word] - discount, 0) / n + discount * len(counts) / n * marginal)
+
+    wanted = [(i, sum(map(log10, words)) + math.log10(ends / n)) for i, words in tokens]
+    found = {r.doc_id: r.score for r in lattice.score(frame(spark, rows), held_out).collect()}
+    assert found == pytest.approx(dict(wanted), rel=1e-6)
+
+
+def test_lattice_scores_of_repeated_rows_long_texts_and_no_training(spark):
+    long = "word " * 60_000 + "y" * 20_000
+    rows = [(1, long), (1, long), (1, "word"), (None, ""), (None, None)]
+    scored = lattice.score(frame(spark, rows), F.col("doc_id") == 8).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in scored) == [(0, 1), (0, 1), (1, 2), (1, 60_002), (1, 60_002)]
+    assert len({(r.n_tokens, r.score) for r in scored}) == 3
+    untrained = lattice.score(frame(spark, rows), F.lit(True)).collect()
+    assert {r.train_tokens for r in untrained} == {0} and all(math.isfinite(r.score) and r.n_known == 0 for r in untrained)
+
+
+def brute_features(text, lexicon, exceptions):
+    """By the docstring: at each place where a word begins the longest entry counts, unless a phrase that begins a word covers it."""
+    text = toxicity.fold(text)
+    begins = [k for k in range(len(text)) if k == 0 or not text[k - 1].isalnum()]
+    excused = [(k, k + len(e)) for k in begins for e in exceptions if text.startswith(e, k)]
+    times = Counter()
+    for k in begins:
+        open_ = [e for e in lexicon if text.startswith(e, k) and not any(a <= k and k + len(e) <= b for a, b in excused)]
+        if open_:
+            times[max(open_, key=len)] += 1
+    return sum(lexicon[e] * (1 + math.log(c)) for e, c in times.items())
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rng = random.Random(11)
+    lexicon = {"ab": 1.0, "abba": 2.5, "moro": 3.0, "c c": 0.5}
+    exceptions = ("ab bb", "the moron", "abbaa")
+    model = toxicity.Model(lexicon, exceptions, (1.5, 0.25, 2.0, -3.0))
+    parts = ["ab", "abba", "Abbaa", "m0r0n", "the", "bb", "c", "xab", "мого", "ａbba", "z-ab", "a\u200bbba", "\n", "!", ""]
+    rows = [(k, " ".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for k in range(300)]
+    rows += [(300, None), (300, ""), (None, "abba"), (None, "abba"), (301, "ab " * 50_000)]
+    found = sorted(((r.doc_id is None, r.doc_id, r.score) for r in toxicity.score(frame(spark, rows), model).collect()), key=str)
+    wanted = []
+    for i, text in rows:
+        text = text or ""
+        weight = brute_features(text, lexicon, exceptions)
+        words = text.count(" ") + text.count("\n") + 1
+        z = 1.5 * math.log1p(weight) + 0.25 * weight / math.sqrt(words) + 2 * min(weight / words, 1) - 3
+        wanted.append((i is None, i, 1 / (1 + math.exp(-max(-30, min(30, z))))))
+    for (_, i, own), (_, j, right) in zip(found, sorted(wanted, key=str), strict=True):
+        assert i == j and own == pytest.approx(right)
+    with pytest.raises(ValueError, match="exists already"):
+        toxicity.with_score(frame(spark, rows).withColumn("score", F.lit(1)), model)
+
+
+def test_toxicity_learns_exceptions(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        # The word harms by itself; behind or before some words it is fine, also in toxic rows.
+        word = "you moron" if k % 2 else ("the moron test" if k % 8 == 0 else "plain words")
+        rows.append((k, f"{sentence(rng, 12)} {word} {sentence(rng, 12)}"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    model = toxicity.learn(frame(spark, rows), labels)
+    assert any(toxicity.fold(e).startswith("the moron") or e.startswith("moron test") for e in model.exceptions)
+    asked = [(0, "take the moron test"), (1, "you moron"), (2, "the moron test says moron")]
+    own = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(frame(spark, asked), model).collect()}
+    assert own == {0: False, 1: True, 2: True}
+
+
 def test_toxicity_folds_and_excuses(spark):
     rng = random.Random(3)
     insults = ["idiot", "moron", "trash"]
@@ -440,6 +552,8 @@ def test_empty_tables(spark):
     assert repeats.deduplicate_bytes(none).count() == 0
     assert unit_dedup.deduplicate(none).count() == 0
     assert lattice.score(none, F.lit(False)).count() == 0
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.score(none, toxicity.learn(none, labels)).count() == 0
     folder = scratch_dir(spark, "tokens")
     assert token_files.read_token_files(token_files.write_token_files(none, folder), folder).count() == 0
     assert neighbours.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
