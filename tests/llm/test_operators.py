@@ -390,12 +390,12 @@ def test_toxicity_learns_exceptions(spark):
     rng = random.Random(4)
     rows = []
     for k in range(400):
-        # The word harms by itself; behind or before some words it is fine, also in toxic rows.
-        word = "you moron" if k % 2 else ("the moron test" if k % 8 == 0 else "plain words")
-        rows.append((k, f"{sentence(rng, 12)} {word} {sentence(rng, 12)}"))
+        # The word harms by itself; in a test's name it doesn't.
+        told = f"{rng.choice(['you', 'such', 'what'])} {'moron' if k % 2 else 'person'}"
+        rows.append((k, f"{sentence(rng, 12)} {'the moron test' if k % 20 == 0 else told} {sentence(rng, 12)}"))
     labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
     model = toxicity.learn(frame(spark, rows), labels)
-    assert any(toxicity.fold(e).startswith("the moron") or e.startswith("moron test") for e in model.exceptions)
+    assert {"the moron", "moron test"} <= set(model.exceptions) and "moron" in {e[:5] for e in model.lexicon}
     asked = [(0, "take the moron test"), (1, "you moron"), (2, "the moron test says moron")]
     own = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(frame(spark, asked), model).collect()}
     assert own == {0: False, 1: True, 2: True}

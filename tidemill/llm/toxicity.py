@@ -4,13 +4,16 @@ Text and lexicon are folded alike: lower case, look-alike letters of other scrip
 that stand for letters, and i, l, 1 and | as one letter; zero-width characters go. The lexicon is
 learned: prefixes of words that labelled toxic rows have and others hardly have, each as short as it
 is precise, with its log odds as weight. Aho-Corasick finds them in whole texts where a word begins;
-a hit inside an exception phrase doesn't count, and the repetition of one entry counts by its logarithm. The weights' sum, plain and divided by the text's
+a hit inside an exception phrase doesn't count, and the repetition of one entry counts by its logarithm. Exception phrases
+are learned too: a word that an entry finds, with the word before or behind it, where the rows that
+have both are hardly ever toxic. The weights' sum, plain and divided by the text's
 length, gives the score by a logistic fit. Learning takes a bounded number of labelled rows; scoring
 takes all rows and nothing but their text.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ LEAST_ROWS = 4
 LEXICON_SIZE = 5_000
 THRESHOLD = 0.7
 
-#: Phrases in which a word of the lexicon means no harm.
+#: Phrases known beforehand in which a word of the lexicon means no harm; others are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "sore loser rule")
 
 # Letters that look like Latin ones, and signs written for letters.
@@ -46,6 +49,9 @@ _DROPPED = "​‌‍⁠﻿­"
 _FOLD = str.maketrans({**_LOOKALIKES, **{c: None for c in _DROPPED}, **{chr(0xFF41 + k): chr(97 + k) for k in range(26)}, "ｌ": "i"})
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
 def fold(text: str) -> str:
     return text.lower().translate(_FOLD)
 
@@ -71,32 +77,81 @@ class Model:
         return machine
 
 
+def _hits(folded: str, machine) -> dict[int, tuple[int, float]]:
+    """End and weight of the longest entry at each place where a word begins, without those inside exception phrases."""
+    excused, hits = [], []
+    for end, (size, value) in machine.iter(folded) if len(machine) else ():
+        start = end + 1 - size
+        if start and folded[start - 1].isalnum():
+            continue
+        if value is None:
+            excused.append((start, end))
+        else:
+            hits.append((start, end, value))
+    best: dict[int, tuple[int, float]] = {}
+    # By place: of the phrases that begin up to here the one that ends last covers most.
+    excused.sort()
+    begun, covered = 0, -1
+    for start, end, value in sorted(hits):
+        while begun < len(excused) and excused[begun][0] <= start:
+            covered = max(covered, excused[begun][1])
+            begun += 1
+        if end > covered:
+            best[start] = max(best.get(start, (0, 0.0)), (end, value))
+    return best
+
+
 def _features(text: str, machine) -> tuple[float, float, float]:
     """Log of the hits' weight, that weight by the square root of the words, and by the words."""
     weight = 0.0
     if len(machine):
         folded = fold(text)
-        excused, hits = [], []
-        for end, (size, value) in machine.iter(folded):
-            start = end + 1 - size
-            if start and folded[start - 1].isalnum():
-                continue
-            if value is None:
-                excused.append((start, end))
-            else:
-                hits.append((start, end, value))
-        if hits:
-            best: dict[int, tuple[int, float]] = {}
-            for start, end, value in hits:  # of prefixes of one word the longest counts
-                if not any(a <= start and end <= b for a, b in excused):
-                    best[start] = max(best.get(start, (0, 0.0)), (end, value))
-            # A text that says one word over and over says little more than once.
-            times = Counter((folded[start:end], value) for start, (end, value) in best.items())
-            weight = sum(value * (1 + np.log(n)) for (_, value), n in times.items())
+        # A text that says one word over and over says little more than once.
+        times = Counter((folded[start:end], value) for start, (end, value) in _hits(folded, machine).items())
+        weight = sum(value * (1 + np.log(n)) for (_, value), n in times.items())
     words = text.count(" ") + text.count("\n") + 1
     return np.log1p(weight), weight / np.sqrt(words), min(weight / words, 1.0)
 
 
+def _phrases(text: str, machine) -> dict[str, str]:
+    """Words that entries find, each with the word before and with the one behind, and the words around the two."""
+    folded, out = fold(text), {}
+    hits = _hits(folded, machine)
+    spans = [m.span() for m in _WORD.finditer(folded)] if hits else []
+
+    def word(k: int) -> str:
+        return folded[slice(*spans[k])] if 0 <= k < len(spans) else ""
+
+    for k, (start, _) in enumerate(spans):
+        if start in hits:
+            for a in (k - 1, k):  # words a and a + 1, one of which is the hit
+                if a >= 0 and a + 1 < len(spans) and folded[spans[a][1] : spans[a + 1][0]] == " ":
+                    out[folded[spans[a][0] : spans[a + 1][1]]] = f"{word(a - 1)} {word(a + 2)}"
+    return out
+
+
+def _exceptions(rows: DataFrame, model: Model, n_toxic: int, n_clean: int) -> tuple[str, ...]:
+    """Phrases around the lexicon's hits that clean rows have in several places and toxic ones hardly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = model.automaton()
+        for batch, data, ends in steps(batches, size=1 << 19):
+            raw = data.tobytes()
+            found = [_phrases(raw[a:b].decode(), machine) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            toxic = np.repeat(batch.column("toxic").to_numpy(), [len(f) for f in found])
+            contexts = [zlib.crc32(around.encode()) for f in found for around in f.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p for f in found for p in f], pa.string()), pa.array(contexts, pa.int64()), pa.array(toxic.astype(np.int32))], ["phrase", "context", "toxic"]
+            )
+
+    found = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "phrase string, context long, toxic int")
+    places = found.groupBy("phrase", "context").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    counts = places.groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("clean") > 0).alias("contexts"))
+    share = F.col("clean") / n_clean
+    harmless = counts.where((F.col("contexts") >= LEAST_ROWS) & (share >= PRECISION * (share + F.col("toxic") / n_toxic)))
+    return tuple(r.phrase for r in harmless.orderBy(F.desc("clean"), "phrase").limit(LEXICON_SIZE).collect())
+
+
 def _prefixes(rows: DataFrame) -> DataFrame:
     """(prefix, context, toxic): each prefix of a row's folded words once, and a hash of the words around one of them."""
 
@@ -159,7 +214,8 @@ def learn(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     """A model from at most `rows` labelled rows of each label.
 
     Null ids and labels are left out; of several labels for an id the largest holds. Without toxic
-    rows, or without others, the lexicon is empty and every score is 0.
+    rows, or without others, the lexicon is empty and every score is 0. `exceptions` hold besides the
+    learned ones, of which there are `LEXICON_SIZE` at most, as of entries.
     """
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
     known = known.groupBy(F.col(id_column).alias("id")).agg((F.max(label_column) > 0).alias("toxic"))
@@ -183,6 +239,8 @@ def learn(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     precise = counts.where((F.col("contexts") >= least) & (share >= PRECISION * (share + F.col("clean") / (n_all - n_toxic))))
     lexicon = _lexicon(precise.orderBy(F.desc("toxic"), "prefix").limit(LEXICON_SIZE).collect(), n_toxic, n_all - n_toxic)
     model = Model(lexicon, folded)
+    folded += tuple(e for e in _exceptions(chosen, model, n_toxic, n_all - n_toxic) if e not in folded)
+    model = Model(lexicon, folded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.automaton()
@@ -202,7 +260,7 @@ def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_co
 
 
 def with_score(documents: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """All rows and columns of `documents` and their score, under a name that is still free."""
+    """All rows and columns of `documents` and their score, under a name that is still free (`ValueError` else)."""
     if score_column in documents.columns:
         raise ValueError(f"a column {score_column} exists already")
     shared = documents.sparkSession.sparkContext.broadcast(model)
