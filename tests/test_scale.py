@@ -1,9 +1,12 @@
 """Plans that must hold when nothing is small any more."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import documents, labeled, ledger, status
+from tidemill.queries import files as queries
 from tidemill.session import default_setting, materialize, scratch_dir
 from tidemill.sources import files
 
@@ -108,6 +111,32 @@ def test_documents_spread_over_files(spark, tmp_path):
     assert documents.records(frame).count() == 20
 
 
+@pytest.fixture
+def made(spark, tmp_path, monkeypatch):
+    """Folders that the queries make in this test, by purpose."""
+    monkeypatch.setattr(queries, "scratch_dir", lambda _, purpose: str(tmp_path / purpose))
+    return tmp_path
+
+
+def write_events(spark, folder, rows):
+    moment, number = F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000), F.col("id")
+    events = spark.range(rows).select(
+        number.alias("event_id"), moment.alias("ts"), (number % 7).alias("user_id"), F.lit("goal").alias("event_type"),
+        (number % 120).cast("double").alias("value"), F.lit('{"a": 1}').alias("props"),
+    )
+    events.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_raw_preview_makes_no_file_per_document(spark, made):
+    found = queries.raw_preview_json(spark, write_events(spark, made / "given", 1000)).collect()
+    assert [r.raw_line for r in found] == ["  114,", "  137,", "  160,"]
+    assert len(list((made / "raw").glob("part-*"))) <= 8  # of 50 documents
+    lines = Counter(r.value for r in spark.read.text(str(made / "raw")).collect())
+    queries._write_documents(queries.event_documents(spark, str(made / "given")), str(made / "each"))
+    assert lines == Counter(r.value for r in spark.read.text(str(made / "each")).collect())
+
+
 def test_scratch_is_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark, "x").startswith(shared)

@@ -57,6 +57,12 @@ def _write_documents(documents_frame: DataFrame, path: str) -> None:
     documents_frame.select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
+def _write_joined(documents_frame: DataFrame, path: str) -> None:
+    """Documents one after the other, as many to a file as a task has: for readers of lines, who see the same
+    lines as in one file per document."""
+    documents_frame.select("value").write.text(path)
+
+
 def _early(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("source_file") < "orders_19980101")
 
@@ -153,7 +159,7 @@ def ledger_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_preview_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First elements that are no objects in the raw table over JSON files."""
     path = scratch_dir(spark, "raw")
-    _write_documents(event_documents(spark, sf_dir), path)
+    _write_joined(event_documents(spark, sf_dir), path)
     name = f"raw_{uuid.uuid4().hex}"
     tables.create_raw_table(spark, name, path)
     odd = F.col("raw_line").rlike("^  [0-9]+,?$")
