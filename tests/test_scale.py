@@ -137,6 +137,12 @@ def test_raw_preview_makes_no_file_per_document(spark, made):
     assert lines == Counter(r.value for r in spark.read.text(str(made / "each")).collect())
 
 
+def test_split_files_are_cut_up_and_parsed_once(spark, made):
+    rows = queries.json_files_split(spark, write_events(spark, made / "given", 2500))
+    assert rows.count() == sum(k % 23 != 22 for k in range(2500) if k // 500 not in (1, 2, 3))
+    assert "Scan text" not in plan(rows) and "parse_json" not in plan(rows)
+
+
 def test_scratch_is_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark, "x").startswith(shared)

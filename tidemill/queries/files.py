@@ -205,7 +205,9 @@ def json_files_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON files, all read as if too large for one value."""
     path = scratch_dir(spark, "landing")
     _write_documents(event_documents(spark, sf_dir, LARGE_FILE_OBJECTS), path)
-    chunks = split_arrays(sources.read_pieces(spark, path, "*.txt"))
+    # Cut up and parsed once, for the facts and for the rows.
+    chunks = documents.parsed(split_arrays(sources.read_pieces(spark, path, "*.txt"))).drop("value")
+    chunks = materialize(chunks, "chunks")
     facts = status.block_facts(materialize(documents.block_summary(chunks), "blocks")).where("loads")
     rows = documents.records(chunks).join(facts, ["source_file", "block"], "left_semi")
     return rows.select(*JSON_RECORD.data_columns)
