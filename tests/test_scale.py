@@ -1,11 +1,13 @@
 """Plans that must hold when nothing is small any more."""
 
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import documents, labeled, ledger, status
+from tidemill.plans import load
 from tidemill.queries import files as queries
 from tidemill.session import default_setting, materialize, scratch_dir
 from tidemill.sources import files
@@ -143,6 +145,37 @@ def test_split_files_are_cut_up_and_parsed_once(spark, made):
     assert "Scan text" not in plan(rows) and "parse_json" not in plan(rows)
 
 
+def test_parsed_lines_give_what_classified_lines_give(spark):
+    frame = lines(spark)
+    classified, parsed = labeled.classify(frame), materialize(labeled.parsed(frame), "parsed")
+    pairs = [(getattr(labeled, n)(classified), getattr(labeled, f"parsed_{n.removeprefix('block_')}")(parsed)) for n in ("block_summary", "records", "rejects")]
+    for old, new in pairs:
+        assert old.columns == new.columns
+        assert Counter(old.collect()) == Counter(new.collect())
+
+
+def loaded(spark, folder, names):
+    """Plans of what the passes of a load of some files get, and the load's table."""
+    plans, text = [], "Event ID: E1 | Status: F\nno record\nEvent ID: E2 | Attendance: x\n"
+    for name in names:
+        (folder / name).write_text(text)
+
+    def seen(step):
+        return lambda frame, **keep: plans.append(plan(frame)) or step(frame, **keep)
+
+    lane = replace(load.TEXT, **{n: seen(getattr(load.TEXT, n)) for n in ("summarize", "records", "rejects")})
+    table, base = queries._new_table(spark)
+    store = load.Store(f"{base}/state")
+    load.load_directory(spark, str(folder), lane, table, store, "2026-04-01 00:00:00")
+    assert spark.table(table).count() == 2 * len(names) and store.rejects(spark).count() == len(names)
+    return plans
+
+
+def test_a_load_takes_lines_apart_once(spark, tmp_path):
+    plans = loaded(spark, tmp_path, ["a.txt", "b.txt"])
+    assert len(plans) == 3 and not any("Scan text" in p for p in plans)
+
+
 def test_scratch_is_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark, "x").startswith(shared)

@@ -95,10 +95,12 @@ def records(classified: DataFrame, spec: RecordSpec = TEXT_RECORD, keep: tuple[s
 
 def rejects(classified: DataFrame, spec: RecordSpec = TEXT_RECORD) -> DataFrame:
     """Lines that are neither blank nor header nor record, with a short preview and the reason."""
+    return classified.where(F.col("kind") == "reject").select("source_file", *_refusal(spec))
+
+
+def _refusal(spec: RecordSpec) -> list[Column]:
     reason = F.when(F.col("body").contains(spec.required + ":"), "no_required_pair").otherwise("no_marker")
-    return classified.where(F.col("kind") == "reject").select(
-        "source_file", F.substring("body", 1, PREVIEW_CHARS).alias("preview"), reason.alias("reason")
-    )
+    return [F.substring("body", 1, PREVIEW_CHARS).alias("preview"), reason.alias("reason")]
 
 
 def with_header_lines(lines: DataFrame, files: DataFrame, ingest_ts: str | Column) -> DataFrame:
@@ -145,21 +147,29 @@ def block_summary(classified: DataFrame, spec: RecordSpec = TEXT_RECORD) -> Data
     One pass over the text. The wide first grouping has fixed-width buffers only, so it
     hash-aggregates on the map side; the string-valued minimum sees just its few rows.
     """
-    is_header = (F.col("kind") == "header") & F.col("value").contains(HEADER_TS_KEY)
-    whole_numbers = [f for f in spec.fields if f.kind == "bigint"]
     unreadable = F.lit(False)
-    for field in whole_numbers:
-        text = F.replace(_raw(field), F.lit(","), F.lit(""))
-        unreadable = unreadable | F.coalesce(text.isNotNull() & integer_or_null(text).isNull(), F.lit(False))
-    per_header = (
-        classified.withColumn("header_ts", F.when(is_header, strip(after(F.col("value"), HEADER_TS_KEY))))
-        .groupBy("source_file", "block", "header_ts")
-        .agg(
-            F.count_if(F.col("kind") == "record").alias("n_valid"),
-            F.count_if(F.col("kind") == "reject").alias("n_reject"),
-            F.count_if((F.col("kind") == "record") & unreadable).alias("n_cast_failures"),
-            F.min("line_no").alias("first_line"),
-        )
+    for field in spec.fields:
+        if field.kind == "bigint":
+            unreadable = unreadable | _unreadable(_raw(field))
+    return _by_block(classified.withColumn("header_ts", _header_ts()).withColumn("unreadable", unreadable))
+
+
+def _header_ts() -> Column:
+    is_header = (F.col("kind") == "header") & F.col("value").contains(HEADER_TS_KEY)
+    return F.when(is_header, strip(after(F.col("value"), HEADER_TS_KEY)))
+
+
+def _unreadable(raw: Column) -> Column:
+    text = F.replace(raw, F.lit(","), F.lit(""))
+    return F.coalesce(text.isNotNull() & integer_or_null(text).isNull(), F.lit(False))
+
+
+def _by_block(lines: DataFrame) -> DataFrame:
+    per_header = lines.groupBy("source_file", "block", "header_ts").agg(
+        F.count_if(F.col("kind") == "record").alias("n_valid"),
+        F.count_if(F.col("kind") == "reject").alias("n_reject"),
+        F.count_if((F.col("kind") == "record") & F.col("unreadable")).alias("n_cast_failures"),
+        F.min("line_no").alias("first_line"),
     )
     return per_header.groupBy("source_file", "block").agg(
         F.sum("n_valid").alias("n_valid"),
@@ -167,3 +177,40 @@ def block_summary(classified: DataFrame, spec: RecordSpec = TEXT_RECORD) -> Data
         F.sum("n_cast_failures").alias("n_cast_failures"),
         _first_header(),
     )
+
+
+def parsed(lines: DataFrame, spec: RecordSpec = TEXT_RECORD) -> DataFrame:
+    """All that a load asks of a line, worked out once: kind, header_ts, unreadable (has a number that is
+    none), preview and reason of a reject, and the typed columns, which mean something for records only.
+
+    A load writes this down and takes counts, rows and rejects from it; see parsed_summary,
+    parsed_records and parsed_rejects, which give what block_summary, records and rejects give.
+    """
+    fields = {f.name: f for f in spec.fields}
+    facts = ["source_file", "block", "line_no", "kind", "header_ts", "preview", "reason"]
+    refusal = [F.when(F.col("kind") == "reject", c).alias(n) for c, n in zip(_refusal(spec), ("preview", "reason"), strict=True)]
+    # A generator, as in `records`, so that nothing above it is worked out a second time.
+    line = F.struct("kind", _header_ts().alias("header_ts"), *refusal, "only_spaces", "segments", "labels")
+    found = classify(lines, spec).select("source_file", "block", "line_no", F.inline(F.array(line))).select(
+        *facts, *[_raw(fields[name]).alias(name) for name in spec.data_columns]
+    )
+    unreadable = F.lit(False)
+    for name in spec.data_columns:
+        if fields[name].kind == "bigint":
+            unreadable = unreadable | _unreadable(F.col(name))
+    return found.select(*facts, unreadable.alias("unreadable"), *[_typed(fields[name], F.col(name)).alias(name) for name in spec.data_columns])
+
+
+def parsed_summary(lines: DataFrame) -> DataFrame:
+    """`block_summary` of a parsed frame."""
+    return _by_block(lines)
+
+
+def parsed_records(lines: DataFrame, spec: RecordSpec = TEXT_RECORD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`records` of a parsed frame."""
+    return lines.where(F.col("kind") == "record").select("source_file", "block", *keep, *spec.data_columns)
+
+
+def parsed_rejects(lines: DataFrame) -> DataFrame:
+    """`rejects` of a parsed frame."""
+    return lines.where(F.col("kind") == "reject").select("source_file", "preview", "reason")

@@ -52,6 +52,7 @@ class Lane:
     rejects: Callable[[DataFrame], DataFrame]
     costly: Callable[[list[tuple[str, int]]], bool]  # reading these files again costs more than keeping them
     sample: int  # rows of a load that are kept to be looked at
+    written: bool  # what `prepare` works out is written down for the passes of a load
 
 
 TEXT = Lane(
@@ -60,12 +61,13 @@ TEXT = Lane(
     pattern=TEXT_PATTERN,
     raw_columns="source_file string, block bigint, line_no bigint, value string",
     read=sources.read_listed,
-    prepare=labeled.classify,
-    summarize=labeled.block_summary,
-    records=labeled.records,
-    rejects=labeled.rejects,
+    prepare=labeled.parsed,
+    summarize=labeled.parsed_summary,
+    records=labeled.parsed_records,
+    rejects=labeled.parsed_rejects,
     costly=lambda found: False,
     sample=3,
+    written=True,
 )
 
 JSON = Lane(
@@ -80,6 +82,7 @@ JSON = Lane(
     rejects=documents.rejects,
     costly=lambda found: any(length > sources.WHOLE_DOCUMENT_BYTES for _, length in found),
     sample=2,
+    written=False,
 )
 
 
@@ -103,6 +106,22 @@ def _contents(spark: SparkSession, lane: Lane, found: list[tuple[str, int]]) ->
         frame.unpersist()
 
 
+@contextmanager
+def _prepared(frame: DataFrame, lane: Lane) -> Iterator[DataFrame]:
+    """What the lane's operators take. Lines are taken apart once per load and written down, in
+    fewer bytes than they come in, until the load ends."""
+    if not lane.written:
+        yield lane.prepare(frame)
+        return
+    spark = frame.sparkSession
+    folder, worked_out = scratch_dir(spark, f"{lane.name}-parsed"), lane.prepare(frame)
+    try:
+        worked_out.write.parquet(folder)
+        yield spark.read.schema(worked_out.schema).parquet(folder)
+    finally:
+        paths.remove(spark, folder)
+
+
 @dataclass(frozen=True)
 class Store:
     """The state folders of one lane, on storage every executor reaches."""
@@ -163,14 +182,28 @@ def load_frame(
     """Load the files `names` (source_file), whose contents are `frame`; returns their status.
 
     Two passes over the contents: a light one that counts per block and finds headers,
-    and the one that parses and writes. The light pass is what allows a file without a
+    and the one that writes. The light pass is what allows a file without a
     valid row to be left out and lets the timestamp join be as small as the file list.
     """
+    require_settings(frame.sparkSession)
+    pin_splits(frame.sparkSession)
+    with _prepared(frame, lane) as lines:
+        return _load(lines, names, lane, table, store, run_id, run_ts)
+
+
+def _load(
+    frame: DataFrame,
+    names: DataFrame,
+    lane: Lane,
+    table: str,
+    store: Store,
+    run_id: str,
+    run_ts: str,
+) -> DataFrame:
+    """`load_frame` of a prepared frame."""
     spark = frame.sparkSession
-    require_settings(spark)
-    pin_splits(spark)
     entries = store.ledger(spark, names)
-    blocks = materialize(lane.summarize(lane.prepare(frame)), f"{lane.name}-blocks")
+    blocks = materialize(lane.summarize(frame), f"{lane.name}-blocks")
     ingested = ledger.at_stage(entries, INGESTED).groupBy("source_file").agg(F.max("ts").alias("ledger_ts"))
     facts = (
         status.block_facts(blocks)
@@ -196,15 +229,15 @@ def load_frame(
         expected = totals["rows"]
         placed = frame.join(loading.select(*_PLACE, "ingest_ts"), _PLACE)
         if any_doubt:
-            sure = lane.records(lane.prepare(ledger.unseen(placed, doubtful)), keep=("ingest_ts",))
-            unsure = lane.records(lane.prepare(ledger.seen(placed, doubtful)))
+            sure = lane.records(ledger.unseen(placed, doubtful), keep=("ingest_ts",))
+            unsure = lane.records(ledger.seen(placed, doubtful))
             file_ts = loading.select("source_file", "ingest_ts").distinct()
             missing = materialize(missing_rows(unsure, table, lane.spec).join(file_ts, "source_file"), "missing")
             sure_rows = ledger.unseen(outcome.where("status = 'processed'"), doubtful).agg(F.sum("n_valid")).first()[0]
             expected = (sure_rows or 0) + missing.count()
             rows = sure.select(*missing.columns).unionByName(missing)
         else:
-            rows = lane.records(lane.prepare(placed), keep=("ingest_ts",))
+            rows = lane.records(placed, keep=("ingest_ts",))
         written, shown = append_sampled(rows.withColumn("processing_ts", F.lit(run_ts)), table, lane.spec, lane.sample)
         store.put_sample(spark, shown, lane.spec, run_id)
         if written != expected:
@@ -216,7 +249,7 @@ def load_frame(
             unreadable = blocks.where(~F.col("is_valid")).select("source_file").distinct()
             with_rejects = ledger.unseen(with_rejects, unreadable)
         refused = frame.join(with_rejects, _PLACE, "left_semi")
-        store.put("rejects", lane.rejects(lane.prepare(refused)), run_id)
+        store.put("rejects", lane.rejects(refused), run_id)
     if totals["files"]:
         store.mark(loading.select("source_file").distinct(), PROCESSED, run_ts, run_id)
     return outcome
