@@ -196,3 +196,8 @@ def test_a_default_setting_gives_way_to_the_session(spark):
         assert spark.conf.get(key) == "3m"
     finally:
         spark.conf.unset(key)
+
+
+def test_a_load_reads_underscored_files_once(spark, tmp_path):
+    plans = loaded(spark, tmp_path, ["_a.txt", "b.txt"])
+    assert len(plans) == 3 and not any("BatchScan" in p for p in plans)
