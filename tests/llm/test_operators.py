@@ -494,6 +494,14 @@ def test_html_text_tells_pages_apart_by_the_whole_digest(spark):
     assert html_pages(spark, {k: ("h.example", t, footer) for k, t in enumerate(own)}) == {k: [t] for k, t in enumerate(own)}
 
 
+def test_html_text_shared_substrings_meet_whatever_stands_around_them(spark):
+    rng = random.Random(17)
+    parts, own = [sentence(rng, 30) for _ in range(6)], {k: sentence(rng, 60) for k in range(15)}
+    pairs = [(a, b) for a in range(6) for b in range(a)]  # no two footers are alike, each part is on five
+    pages = {k: ("h.example", own[k], f"{parts[a]} {parts[b]}") for k, (a, b) in enumerate(pairs)}
+    assert html_pages(spark, pages) == {k: [t] for k, t in own.items()}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
