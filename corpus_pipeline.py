@@ -62,9 +62,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines of any length that an earlier document, or place, has already; n_chars follows the text."""
+    """Takes out passages of 50 words, wherever lines break, and lines of any length that an earlier document,
+    or place, has already; n_chars follows the text."""
     ship(spark)
-    kept = unit_dedup.deduplicate(docs).select(*docs.columns)
+    passed = materialize(unit_dedup.deduplicate_passages(docs), "passages-out")
+    kept = unit_dedup.deduplicate(passed).select(*docs.columns)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -54,6 +54,15 @@ def test_pipeline_takes_out_short_repeated_lines(spark):
     assert out == {1: rows[0][1], 2: "second\n", 3: ""}
 
 
+def test_pipeline_takes_out_repeated_passages_that_lines_break_differently(spark):
+    queries.ship(spark)
+    passage, longer = [f"w{k}" for k in range(60)], [f"v{k}" for k in range(80)]
+    rows = [(1, "first " + " ".join(passage)), (2, "its own\n" + "\n".join(" ".join(passage[k : k + 7]) for k in range(0, 60, 7)) + " end"), (3, " ".join(longer)), (4, " ".join(longer[:49]) + " else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_units(spark, docs, SF_DIR).collect()}
+    assert out == dict(rows) | {2: "its own\nend"}
+
+
 AWKWARD = "doc_id long, text string, source string, score double, kept boolean, removed string, n_units int, mark long, `key` string"
 
 

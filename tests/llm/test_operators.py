@@ -246,6 +246,53 @@ def test_unit_dedup_keeps_the_first_and_says_where(spark):
     assert own == {1: f"{line}\n\nx", 2: "y\n\nz"}
 
 
+def _later_passages(rows, words):
+    """The words of each row that stand in a passage with an earlier place, by brute force."""
+    firsts, out = {}, {}
+    for i, text in sorted(rows):
+        plain = text.translate(unit_dedup._CAPITALS).split()
+        gone = set()
+        for k in range(len(plain) - words + 1):
+            head = firsts.setdefault(tuple(plain[k : k + words]), (i, k))
+            if head[0] != i or k - head[1] >= words:
+                gone |= set(range(k, k + words))
+        out[i] = gone
+    return out
+
+
+def test_passages_are_found_wherever_lines_break(spark):
+    """Random texts put together from shared pieces and broken anywhere, against brute force."""
+    random.seed(11)
+    vocabulary = [f"{c}{k}" for k in range(40) for c in "aBé"]
+    pieces = [[random.choice(vocabulary) for _ in range(random.randint(3, 40))] for _ in range(12)]
+    rows = [(90, "same " * 70), (91, "one two " * 40), (92, "same " * 9), (93, ""), (94, " \n")]
+    for i in range(80):
+        words = [w for _ in range(random.randint(1, 6)) for w in random.choice(pieces)[random.randint(0, 5) :]]
+        words = [w.upper() if w.isascii() and random.random() < 0.2 else w for w in words]
+        rows.append((i, "".join(w + random.choice([" ", " ", "\n", "\t", " \n\n"]) for w in words)))
+    for words in (2, 9, 10):
+        found = unit_dedup.repeated_passages(frame(spark, rows), words=words).collect()
+        want = {(i, k) for i, gone in _later_passages(rows, words).items() for k in gone}
+        assert {(r.id, k) for r in found for k in range(r.first, r.last)} == want and want
+        out = {r.doc_id: r.text for r in unit_dedup.deduplicate_passages(frame(spark, rows), words=words).collect()}
+        assert out.keys() == dict(rows).keys()
+        for i, text in rows:
+            gone = {k for j, k in want if j == i}
+            assert out[i].split() == [w for k, w in enumerate(text.split()) if k not in gone]
+            assert gone or out[i] == text
+
+
+def test_passages_null_and_repeated_ids_and_other_columns(spark):
+    passage, other = (" ".join(f"{x}{k}" for k in range(50)) for x in "pq")
+    rows = [(None, passage, 1), (1, f"before {passage.upper()}\nbehind", 2), (1, f"x\n{passage.replace(' ', chr(10))} y", 3), (2, None, 4), (2, passage, 5), (2, passage, 6), (3, other, 7), (3, other, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Cuts int")
+    out = unit_dedup.deduplicate_passages(docs)
+    assert out.columns == docs.columns
+    texts = {r.Cuts: r.text for r in out.collect()}
+    assert texts == {1: passage, 2: "before\nbehind", 3: "x\ny", 4: None, 5: "", 6: "", 7: other, 8: other}
+    assert unit_dedup.deduplicate_passages(docs.limit(0)).isEmpty()
+
+
 def test_unit_dedup_null_and_repeated_ids_long_texts_and_clashing_names(spark):
     long = "\n".join(f"line {i}" for i in range(20_000))
     rows = [(2, "a\nb", 1, "r"), (2, "a\nb", 2, "s"), (2, "b\nc", 3, None), (None, "a\nd", 4, "t"), (7, long, 5, "u"), (8, "x\nline 19999", 6, "v")]

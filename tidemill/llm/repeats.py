@@ -87,7 +87,7 @@ def _slots(one: np.ndarray) -> np.ndarray:
     return (one & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
-def _bitmap(digits: DataFrame) -> bytes:
+def bitmap(digits: DataFrame) -> bytes:
     """Fixed-size bitmap of a column `one`; at most eight partial ones reach the driver, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def _bitmap(digits: DataFrame) -> bytes:
     return total.tobytes()
 
 
-def _there(bits: bytes, one: np.ndarray) -> np.ndarray:
+def there(bits: bytes, one: np.ndarray) -> np.ndarray:
     slots = _slots(one)
     return (np.frombuffer(bits, np.uint8)[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
@@ -116,9 +116,9 @@ def _second_pass(documents: DataFrame, length: int, shared, mixed_groups) -> Dat
             sums = prefix_sums(data)
             row, first, count, gram = _runs(data, offsets, sums, length)
             one, two = _digits(sums, first, count, gram, length)
-            keep = np.flatnonzero(_there(shared.value, one))
+            keep = np.flatnonzero(there(shared.value, one))
             row, first, count, gram, one, two = (x[keep] for x in (row, first, count, gram, one, two))
-            raw, with_text = data.tobytes(), _there(mixed_groups.value, one)
+            raw, with_text = data.tobytes(), there(mixed_groups.value, one)
             texts = [raw[a:b] if t else None for a, b, t in zip(first.tolist(), (first + count + length - 1).tolist(), with_text.tolist(), strict=True)]
             index = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -202,7 +202,7 @@ def repeated_spans(documents: DataFrame, id_column: str = "doc_id", text_column:
     groups = _first_pass(plain, length).groupBy("one").agg(F.count("*").alias("n"), F.min("two").alias("low"), F.max("two").alias("high"))
     groups = materialize(groups.where("n > 1").select("one", (F.col("low") != F.col("high")).alias("mixed")), "digits")
     broadcast = spark.sparkContext.broadcast
-    shared, mixed_groups = broadcast(_bitmap(groups)), broadcast(_bitmap(groups.where("mixed")))
+    shared, mixed_groups = broadcast(bitmap(groups)), broadcast(bitmap(groups.where("mixed")))
     runs = materialize(_second_pass(plain, length, shared, mixed_groups), "runs")
 
     counted = runs.groupBy("one", "two").agg(F.count("*").alias("n"))

@@ -4,6 +4,11 @@ Units are normalised (A-Z in lower case, white space as single spaces, trimmed)
 bits. Of equal units the first in the order (document id, text hash, place) stays; the others are
 removed, with their places in the original text kept. Counting combines before the shuffle and is
 written out; the join that follows is one Spark can split where one unit has a third of all rows.
+
+Lines differ where the same passage is broken elsewhere or stands inside another line. Its units are
+all runs of `words` consecutive words (repeated_passages), found exactly and for a few rows per
+hundred words: neighbouring runs mostly share the least hashed gram within them and go as one, and
+only where one gram has different surroundings are they dealt out one by one.
 """
 
 from __future__ import annotations
@@ -11,12 +16,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import lists, materialize, steps, table
+from tidemill.llm.common import LOWER, NOT_SPACE, expand, lists, materialize, prefix_sums, span_hashes, steps, sums_of, table, word_spans
+from tidemill.llm.repeats import bitmap, there
 
 _BREAKS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t\r\f\v]*\n\\s*")}
 _CAPITALS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -128,6 +135,161 @@ def deduplicate(documents: DataFrame, id_column: str = "doc_id", text_column: st
     return remove_units(documents, spans, id_column, text_column, unit=unit)
 
 
+#: Words of a passage.
+PASSAGE = 50
+
+
+def _passages(data: np.ndarray, offsets: np.ndarray, words: int):
+    """Runs of passages that share their least gram: row, first word in its row, number of passages, gram and text as hashes.
+
+    And the hash of each passage, with where each run's begin among them.
+    """
+    lowered = LOWER[data]
+    starts, ends, row = word_spans(lowered, offsets, NOT_SPACE)
+    n = len(starts) - words + 1
+    if n <= 0:
+        return None
+    sums = sums_of(span_hashes(prefix_sums(lowered), starts, ends))
+    size = (words + 1) // 2
+    at = np.arange(len(starts) - size + 1)
+    grams = span_hashes(sums, at, at + size)
+    # The low bits hold the place, descending: values differ, and of equal grams the last is least.
+    low = np.uint64(0xFFFFFFFF)
+    least, span, width = (grams & ~low) | (low - at.astype(np.uint64)), 1, words - size + 1
+    while span * 2 <= width:
+        least, span = np.minimum(least[:-span], least[span:]), span * 2
+    if span < width:
+        least = np.minimum(least[:n], least[width - span : width - span + n])
+    gram = (low - (least & low)).astype(np.int64)
+    valid = row[:n] == row[words - 1 :]
+    new = np.ones(n, bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (row[1:n] != row[: n - 1]) | ~valid[:-1]
+    first = np.flatnonzero(new & valid)
+    running = np.concatenate([[0], np.cumsum(valid)])
+    count = running[np.append(first[1:], n)] - running[first]
+    begins = np.searchsorted(row, np.arange(len(offsets) - 1))
+    text = span_hashes(sums, first, first + count + words - 1)
+    return row[first], first - begins[row[first]], count, grams[gram[first]], text, span_hashes(sums, at[:n], at[:n] + words), first
+
+
+def repeated_passages(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, words: int = PASSAGE) -> DataFrame:
+    """The places of passages of `words` words that stand earlier too: id, mark, first, last (words, from 0; `last` excluded).
+
+    Words are compared like units are: A-Z in lower case, white space of any kind between them. Earlier is by
+    document id, text hash and place; in the same document, at least `words` words before, so that what is repeated
+    at once keeps its first passage. Ranges may overlap. Rows equal in id and text are one document.
+    """
+    spark = documents.sparkSession
+    plain = _marked(documents.select(id_column, text_column), id_column, text_column)
+    plain = plain.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), F.col(text_column).alias("text"))
+    kind = documents.schema[id_column].dataType.simpleString()
+
+    def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in steps(batches):
+            if found := _passages(data, offsets, words):
+                yield pa.RecordBatch.from_arrays([pa.array(found[3].view(np.int64)), pa.array(found[4].view(np.int64))], ["one", "two"])
+
+    groups = plain.select("text").mapInArrow(digits, "one long, two long").groupBy("one")
+    groups = groups.agg(F.count("*").alias("n"), F.min("two").alias("low"), F.max("two").alias("high")).where("n > 1")
+    groups = materialize(groups.select("one", (F.col("low") != F.col("high")).alias("mixed")), "passage-digits")
+    shared, mixed_groups = spark.sparkContext.broadcast(bitmap(groups)), spark.sparkContext.broadcast(bitmap(groups.where("mixed")))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in steps(batches):
+            found = _passages(data, offsets, words)
+            if not found:
+                continue
+            row, first, count, one, two, hashes, at = found
+            keep = np.flatnonzero(there(shared.value, one))
+            row, first, count, one, two, at = (x[keep] for x in (row, first, count, one, two, at))
+            own = np.where(there(mixed_groups.value, one), count, 0)
+            index = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("id").take(index),
+                    rows.column("mark").take(index),
+                    pa.array(first),
+                    pa.array(count),
+                    pa.array(one.view(np.int64)),
+                    pa.array(two.view(np.int64)),
+                    lists(pa.array(hashes[expand(at, own)].view(np.int64)), own),
+                ],
+                ["id", "mark", "first", "count", "one", "two", "hashes"],
+            )
+
+    found = materialize(plain.mapInArrow(runs, f"id {kind}, mark long, first long, count long, one long, two long, hashes array<long>"), "passage-runs")
+    order = F.struct("id", "mark", "first")
+    heads = materialize(found.groupBy("one", "two").agg(F.min(order).alias("head")), "passage-heads")
+    several = materialize(heads.groupBy("one").count().where("count > 1").select("one"), "passage-several")
+    judged = materialize(found.join(heads, ["one", "two"]).withColumn("gone", _stands_earlier("head", words)), "passage-judged")
+    whole = judged.where("gone").select("id", "mark", "first", (F.col("first") + F.col("count") + words - 1).alias("last"))
+
+    # What no equal run has taken out: one by one, where its gram has other surroundings elsewhere.
+    rest = judged.where("not gone and size(hashes) > 0").join(several, "one").select("one", "id", "mark", "first", F.posexplode("hashes").alias("place", "hash"))
+    rest = materialize(rest.select("one", "hash", "id", "mark", (F.col("first") + F.col("place")).alias("first")), "passage-rest")
+    firsts = rest.groupBy("one", "hash").agg(F.min(order).alias("head"), F.max(order).alias("tail")).where("head != tail").drop("tail")
+    again = rest.join(materialize(firsts, "passage-firsts"), ["one", "hash"]).where(_stands_earlier("head", words))
+    return whole.unionByName(again.select("id", "mark", "first", (F.col("first") + words).alias("last")))
+
+
+def _stands_earlier(head: str, words: int):
+    """Whether `head`, the first of a passage's places, is another document's or no part of this passage."""
+    same = F.col(f"{head}.id").eqNullSafe(F.col("id")) & (F.col(f"{head}.mark") == F.col("mark"))
+    return ~(same & (F.col("first") - F.col(f"{head}.first") < words))
+
+
+def remove_passages(documents: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`documents` with the words of repeated_passages' spans taken out of the text, other columns as they are.
+
+    Of the white space before and behind a passage the one with more line breaks stays. A text that
+    loses nothing stays as it is; a null text stays null.
+    """
+    names = documents.columns
+    cuts = free_names(["cuts"], names)[0]
+    by_row = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("__cuts"))
+    left, right = _marked(documents, id_column, text_column), by_row.select(F.col("id").alias("__i"), F.col("mark").alias("__m"), "__cuts")
+    joined = left.join(right, F.col("__id").eqNullSafe(F.col("__i")) & F.col("__mark").eqNullSafe(F.col("__m")), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in steps(batches, text_column):
+            texts, places = rows.column(text_column), rows.column(cuts)
+            touched = np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False))
+            if len(touched):
+                raw, new = data.tobytes(), texts.to_pylist()
+                for k in touched.tolist():
+                    a, b = int(offsets[k]), int(offsets[k + 1])
+                    new[k] = _without(raw[a:b], data[a:b], places[k].as_py()).decode()
+                texts = pa.array(new, rows.schema.field(text_column).type)
+            yield pa.RecordBatch.from_arrays([texts if c == text_column else rows.column(c) for c in names], names)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields]
+    return joined.select(*names, F.col("__cuts").alias(cuts)).mapInArrow(run, ", ".join(fields))
+
+
+def _without(raw: bytes, data: np.ndarray, cuts: list[dict]) -> bytes:
+    """A text without the words of the cuts."""
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]), NOT_SPACE)
+    depth = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(depth, [c["first"] for c in cuts], 1)
+    np.add.at(depth, [c["last"] for c in cuts], -1)
+    covered = np.concatenate([[False], np.cumsum(depth[:-1]) > 0, [False]])
+    edges = np.flatnonzero(covered[1:] != covered[:-1])
+    out, at = [], 0
+    for first, last in edges.reshape(-1, 2).tolist():
+        before = raw[ends[first - 1] : starts[first]] if first else b""
+        behind = raw[ends[last - 1] : starts[last]] if last < len(starts) else b""
+        out.append(raw[at : ends[first - 1]] if first else b"")
+        out.append(max(before, behind, key=lambda s: s.count(b"\n")) if first and last < len(starts) else b"")
+        at = int(starts[last]) if last < len(starts) else len(raw)
+    return b"".join([*out, raw[at:]])
+
+
+def deduplicate_passages(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, words: int = PASSAGE) -> DataFrame:
+    """`documents` without the passages that stand earlier too; see repeated_passages and remove_passages."""
+    spans = materialize(repeated_passages(documents, id_column, text_column, words=words), "passages")
+    return remove_passages(documents, spans, id_column, text_column)
+
+
 def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines of all documents: characters and lines removed, their places and a digest of what stays."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
